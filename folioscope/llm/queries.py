@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules, warc
+from . import near_dedup, quality_rules, warc
 from .byte_bpe import op6_byte_bpe
+from .near_dedup import op9_near_dedup
 from .packing import op5_packing
 from .pii import op3_pii
 from .quality_classifier import op10_quality_classifier
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_rules": op7_quality_rules,
+    "op9_near_dedup": op9_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE_SQL: dict[str, str] = {"op4_warc": warc.ORACLE_SQL, "op7_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc": warc.ORACLE_SQL, "op7_quality_rules": quality_rules.ORACLE_SQL, "op9_near_dedup": near_dedup.ORACLE_SQL}
