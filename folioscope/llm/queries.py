@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import near_dedup, quality_rules, warc
 from .byte_bpe import op6_byte_bpe
 from .near_dedup import op9_near_dedup
+from .nn_descent import op8_nearest
 from .packing import op5_packing
 from .pii import op3_pii
 from .quality_classifier import op10_quality_classifier
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_rules": op7_quality_rules,
+    "op8_nearest": op8_nearest,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
