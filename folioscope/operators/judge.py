@@ -21,9 +21,9 @@ def passages(items: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
     items = items.select("item_id", F.col("text").alias("passage"), inner.alias("w"), T.words(F.col("text")).alias("all"))
     long = items.where(F.size("all") >= words + 2).select("item_id", "passage", F.array_join("w", " ").alias("gram"))
     short = items.where(F.size("all") < words + 2).select("item_id", "passage")
-    w = T.words(F.col("text"))
-    grams = F.transform(F.sequence(F.lit(1), F.size(w) - (words - 1)), lambda i: F.array_join(F.slice(w, i, words), " "))
-    rows = docs.where("text is not null").select("doc_id", F.explode(F.when(F.size(w) >= words, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))).alias("gram"))
+    worded = docs.where("text is not null").select("doc_id", T.words(F.col("text")).alias("w")).where(F.size("w") >= words)
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.array_join(F.slice("w", i, words), " "))
+    rows = worded.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))
     pairs = rows.join(long, "gram").select("doc_id", "item_id", "passage").distinct()
     found = docs.join(pairs, "doc_id").unionByName(docs.where("text is not null").crossJoin(short.where("passage <> ''")), allowMissingColumns=True)
     at = F.instr(F.col("text"), F.col("passage"))

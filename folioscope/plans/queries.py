@@ -96,7 +96,7 @@ select s.doc_id, cast(s.section_no as varchar) as section_no, '[Act > §' || s.s
 from s left join rf on rf.doc_id = s.doc_id and rf.src_no = cast(s.section_no as varchar)""")
 def statute_augment(spark, sf_dir) -> DataFrame:
     s = f.lines(spark, sf_dir).withColumn("section_no", F.col("section_no").cast("string"))
-    return chunk.statute_augmented(s, sections.edges(s).withColumnRenamed("src_no", "src_no"))
+    return chunk.statute_augmented(s, sections.edges(s))
 
 
 @query("select conv_id, string_agg(text, chr(10) order by turn, text) as text from conversations where text is not null group by conv_id")
@@ -265,7 +265,7 @@ def _bridge(spark, sf_dir):
     """Chunks map to one of seven gold ids of their label; queries expect the first four of theirs."""
     bridge = f.vectors(spark, sf_dir).select("chunk_id", (F.col("label") * 100 + F.col("chunk_id") % 7).alias("gold_id"))
     run = f.dense_run(spark, sf_dir, 20)
-    expected = run.select("query_id", "label").distinct().select("query_id", F.explode(F.sequence(F.col("label") * 100, F.col("label") * 100 + 3)).cast("long").alias("gold_id"))
+    expected = run.select("query_id", "label").distinct().select("query_id", F.explode(F.sequence(F.col("label").cast("long") * 100, F.col("label").cast("long") * 100 + 3)).alias("gold_id"))
     return run, bridge, expected
 
 
@@ -391,9 +391,6 @@ def method_lift(spark, sf_dir) -> DataFrame:
     return metrics.lift(_means(spark, sf_dir), "fused")
 
 
-_AB = "ab as (select cast(l_returnflag = 'R' as int) as chunking, cast(l_linestatus = 'O' as int) as retrieval, avg(l_discount) as value from lineitem group by all)"
-
-
 @query(f"with {f.dense_sql(20)}, ab as (select chunk_id % 2 as chunking, rank % 2 as retrieval, avg(rel) as value from drun group by all), cc as (select max(case when chunking = 0 and retrieval = 0 then value end) as a, max(case when chunking = 1 and retrieval = 0 then value end) as b, max(case when chunking = 0 and retrieval = 1 then value end) as c, max(case when chunking = 1 and retrieval = 1 then value end) as d from ab) select round(b - a, 6) as chunking_effect, round(c - a, 6) as retrieval_effect, round(d - a, 6) as total_effect, round(d - b - c + a, 6) as interaction from cc")
 def ablation_2x2(spark, sf_dir) -> DataFrame:
     cells = f.dense_run(spark, sf_dir, 20).groupBy((F.col("chunk_id") % 2).alias("chunking"), (F.col("rank") % 2).alias("retrieval")).agg(F.avg("rel").alias("value"))
