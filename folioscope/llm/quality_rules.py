@@ -12,6 +12,7 @@ window leaves its row.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,8 +43,9 @@ class Rule:
     bottom: str
     sign: int = 1
 
-    def fails(self) -> Column:
-        a, b = F.col(self.top) * self.factor, F.col(self.bottom) * self.share
+    def fails(self, bottom: Column | None = None, top: Column | None = None) -> Column:
+        a = (F.col(self.top) if top is None else top) * self.factor
+        b = (F.col(self.bottom) if bottom is None else bottom) * self.share
         return a > b if self.sign > 0 else a < b
 
     def sql(self) -> str:
@@ -117,13 +119,20 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The rows of docs that break no rule, with the columns of docs."""
+    """The rows of docs that break no rule, with the columns of docs.
+
+    The verdict is taken inside a generator, which gives a row or none: a filter
+    would be pushed below the projections, and with it a copy of all the counting
+    for each count that a rule reads.
+    """
     rows = counted(docs, text)
     counts = rows.columns[-1]
-    for r in rules:
-        top, bottom = F.col(f"{counts}.{r.top}"), F.lit(1) if r.bottom == "one" else F.col(f"{counts}.{r.bottom}")
-        rows = rows.where(~(top * r.factor > bottom * r.share if r.sign > 0 else top * r.factor < bottom * r.share))
-    return rows.drop(counts)
+
+    def good(x: Column) -> Column:
+        fails = [r.fails(F.lit(1) if r.bottom == "one" else x[r.bottom], x[r.top]) for r in rules]
+        return ~functools.reduce(lambda a, b: a | b, fails)
+
+    return rows.select(*(F.col(c) for c in docs.columns), F.explode(F.filter(F.array(counts), good)).alias(counts)).drop(counts)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
