@@ -25,6 +25,7 @@ import gc
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,29 +68,31 @@ class PieceEncoder:
         self.space, self.spaced = (" ", BYTE_CHARS[32]) if leading else ("", "")
         self.first: dict[str, bytes | None] = {}
         self.rest: dict[str, bytes | None] = {}
-        self.words: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def _merged(self, pretoken: str) -> bytes:
-        ids = [x.id for x in self.model.tokenize(pretoken)] if pretoken else []
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", [x.id for x in self.model.tokenize(pretoken)]).tobytes() if pretoken else b""
 
     def _pieces(self, pieces: list[str], space: str) -> list[bytes]:
         """Ids of pieces that are cut off safely, each with space before it."""
         out: list[bytes] = [b""] * len(pieces)
         odd, spaced, words, marks = [], self.spaced if space else "", {}, self.marks
+        plain, tokenize, lower = PLAIN.fullmatch, self.model.tokenize, self.lower
         if len(marks) > 10_000:
             marks.clear()
         for k, piece in enumerate(pieces):
-            if (m := PLAIN.fullmatch(piece)) and len(piece) <= KEPT_CHARS:
+            if (m := plain(piece)) and len(piece) <= KEPT_CHARS:
                 word, mark = m.groups()
-                if self.lower:
+                if lower:
                     word = word.lower()
                 if (ids := words.get(word)) is None:
-                    ids = words[word] = self._merged(spaced + (word if word.isascii() else byte_level(word)))
-                if mark not in marks:
-                    marks[mark] = self._merged(mark)
-                out[k] = ids + marks[mark]
+                    pretoken = spaced + (word if word.isascii() else byte_level(word))
+                    ids = words[word] = array("I", [x.id for x in tokenize(pretoken)]).tobytes()
+                if mark:
+                    if mark not in marks:
+                        marks[mark] = self._merged(mark)
+                    ids += marks[mark]
+                out[k] = ids
             else:
                 odd.append(k)
         for at in range(0, len(odd), 1000):
@@ -126,7 +129,9 @@ class PieceEncoder:
         ids = np.frombuffer(b"".join(x for x in values if x), "<u4")
         at, n = (np.cumsum(lengths) - lengths)[index], lengths[index]
         ends = np.cumsum(n)
-        flat = ids[np.repeat(at - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+        flat = ids[np.repeat((at - (ends - n)).astype(kind), n) + np.arange(total, dtype=kind)]
         counts = np.add.reduceat(n, starts)
         for k in np.flatnonzero(np.logical_or.reduceat(unsafe[index], starts))[::-1]:
             parts = CUT.split(texts[k].as_py())
