@@ -182,10 +182,9 @@ def _region_pairs(order: int, sketch: np.ndarray, sizes: np.ndarray, percent: in
         if hi - lo <= LEAF:
             for a, b in leaf_pairs(sketch[lo:hi], sizes[lo:hi], percent):
                 yield lo + a, lo + b
-        elif depth >= SKETCH:
+        elif (least := max(depth, int(common_prefix[lo : hi - 1].min()))) >= SKETCH:
             yield from itertools.pairwise(range(lo, hi))
         else:
-            least = max(depth, int(common_prefix[lo : hi - 1].min()))
             cuts = [lo, *(np.flatnonzero(common_prefix[lo : hi - 1] <= least) + lo + 1).tolist(), hi]
             todo += [(x, y, least + 1) for x, y in itertools.pairwise(cuts)]
 

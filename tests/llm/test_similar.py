@@ -92,6 +92,12 @@ def test_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in near_dedup.keep_one(rows).collect()) == [k for k, _, _, kept in got if kept]
 
 
+def test_long_run_of_equal_sketches_is_a_chain():
+    same = np.zeros((100, near_dedup.SKETCH), np.uint8)
+    pairs = {tuple(sorted(map(int, p))) for p in near_dedup._region_pairs(0, same, np.full(100, 50), 85)}
+    assert {(k, k + 1) for k in range(99)} <= pairs
+
+
 def test_repeated_rows_and_null_keys(spark):
     rows = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (5, "A b c d e f")], "doc_id long, text string")
     got = sorted((tuple(r) for r in near_dedup.near_duplicates(rows).collect()), key=str)
