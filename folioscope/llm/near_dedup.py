@@ -48,8 +48,6 @@ MIN_DEPTH = 4
 LEAF = 32
 #: Shares of equal places in two sketches: below the first, a pair is no candidate (4 standard deviations under 0.85); from the second on it counts as surely similar within its leaf.
 UNLIKELY, SURE = 0.72, 0.94
-#: Of the orders where a pair's common prefix is longest, so many may report it.
-REPORTS = 3
 #: Rows of one region that are looked at together.
 REGION_ROWS = 200_000
 SLICE_BYTES = 4 << 20
@@ -189,16 +187,6 @@ def _region_pairs(order: int, sketch: np.ndarray, sizes: np.ndarray, percent: in
             todo += [(x, y, least + 1) for x, y in itertools.pairwise(cuts)]
 
 
-_BACK = np.argsort(PERMUTATIONS, axis=1)
-
-
-def _reports(order: int, first: np.ndarray, second: np.ndarray) -> bool:
-    """Is order among the REPORTS orders with the longest common prefix of this pair of permuted sketches?"""
-    same = (first == second)[_BACK[order]]
-    runs = [int(np.argmin(np.append(same[p], False))) for p in PERMUTATIONS]
-    return sum(r > runs[order] or (r == runs[order] and k < order) for k, r in enumerate(runs)) < REPORTS
-
-
 def _orders(batches):
     for b in batches:
         sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
@@ -210,8 +198,7 @@ def _orders(batches):
 def _candidates(percent: int):
     def pairs_of(order, sketch, keys, sizes):
         for a, b in _region_pairs(order, sketch, sizes, percent):
-            if _reports(order, sketch[a], sketch[b]):
-                yield min(keys[a], keys[b]), max(keys[a], keys[b])
+            yield min(keys[a], keys[b]), max(keys[a], keys[b])
 
     def run(batches):
         held = None  # the rows of the last region so far
@@ -232,6 +219,7 @@ def _candidates(percent: int):
                 lo, hi = cuts[k], cuts[k + 1]
                 found += pairs_of(int(tree[lo]), sketch[lo:hi], keys[lo:hi], sizes[lo:hi])
             held = tuple(x[cuts[last] :] for x in held) if last < len(cuts) - 1 else None
+            found = set(found)
             yield pa.record_batch([pa.array([int(p[i]) for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run

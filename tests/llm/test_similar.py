@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -98,6 +99,18 @@ def test_long_run_of_equal_sketches_is_a_chain():
     assert {(k, k + 1) for k in range(99)} <= pairs
 
 
+def test_each_order_reports_its_pairs():
+    """A boundary can part a pair in the orders where its common prefix is longest."""
+    sketch = np.zeros((2, near_dedup.SKETCH), np.uint8)
+    sketch[1, ::16] = 1
+    keys, sizes = pa.array([3, 4], pa.int64()), pa.array([50, 50], pa.int32())
+    for k, p in enumerate(near_dedup.PERMUTATIONS):
+        rows = sketch[:, p]
+        batch = pa.record_batch([pa.array([k, k], pa.int32()), pa.array([r.tobytes() for r in rows]), keys, sizes], names=["tree", "permuted", "key", "n"])
+        found = [(r["a"], r["b"]) for out in near_dedup._candidates(85)([batch]) for r in out.to_pylist()]
+        assert found == ([(3, 4)] if (rows[0] == rows[1])[: near_dedup.MIN_DEPTH].all() else [])
+
+
 def test_repeated_rows_and_null_keys(spark):
     rows = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (5, "A b c d e f")], "doc_id long, text string")
     got = sorted((tuple(r) for r in near_dedup.near_duplicates(rows).collect()), key=str)
