@@ -9,15 +9,21 @@ order are neighbours there, and likely similar.
 Adaptive depth: a region is a run of an order with a common prefix of MIN_DEPTH.
 A region of over LEAF classes is split by longer prefixes until its parts have at
 most LEAF, so that crowded regions ask for deeper agreement and sparse ones for
-less.  At the full depth a run of equal sketches is linked as a chain.  Within a
-leaf, pairs whose sketches are far from the threshold are left out, and pairs
-that are surely similar only span their cluster.  What remains are candidates,
-and each is confirmed on the full shingle sets.
+less.  A run of equal sketches is linked as a chain.  What a split parts stays in
+touch: neighbours at a cut are a pair, and rows that leave a crowd meet its core.
+Pairs whose sketches are far from the threshold are left out.
+
+Two passes: the first confirms, on the full shingle sets, a forest of the
+likeliest pairs of each leaf in FIRST_ORDERS orders.  The second confirms, in all
+orders, every likely pair of a leaf, or of a crowd's rows with its core, whose
+ends are still in two components.
 
 Recall: a pair at the threshold t = 0.85 is in one leaf of an order with
 probability t ** depth.  At MIN_DEPTH over ORDERS orders it is missed with a
-probability of 4e-7; in a region of thousands of half similar texts, where depth
-grows to 7, with one of 4e-4 for a pair that no other pair connects.
+probability of 4e-7.  In a crowd depth grows with the logarithm of its size over
+the share of places in which its rows differ, so most of its pairs share no leaf;
+its rows are then connected through its core and the neighbours at cuts, and a
+pair that neither these nor other links connect is missed.
 
 Plan: orders are range-partitioned on (order, permuted sketch, id), so a region
 that holds a third of all rows is spread over tasks; a boundary can part two
@@ -44,10 +50,14 @@ WORDS = 5
 PERCENT = 85
 SKETCH = 128
 ORDERS = 20
+#: Orders of the first pass; what they leave apart, the second looks for in all.
+FIRST_ORDERS = 6
 MIN_DEPTH = 4
 LEAF = 32
-#: Shares of equal places in two sketches: below the first, a pair is no candidate (4 standard deviations under 0.85); from the second on it counts as surely similar within its leaf.
-UNLIKELY, SURE = 0.72, 0.94
+#: Share of equal places in two sketches below which a pair is no candidate (4 standard deviations under 0.85).
+UNLIKELY = 0.72
+#: Rows that are held against a core at once.
+BLOCK = 2048
 #: Rows of one region that are looked at together.
 REGION_ROWS = 200_000
 SLICE_BYTES = 4 << 20
@@ -145,11 +155,20 @@ def _fingerprints(words: int):
     return run
 
 
-def leaf_pairs(sketch: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Candidates among a leaf's rows: likely pairs, of which sure ones only span their clusters."""
-    same = (sketch[:, None, :] == sketch[None, :, :]).mean(axis=2)
-    small, large = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
-    a, b = np.nonzero(np.triu((same >= UNLIKELY) & (100 * small >= percent * large), 1))
+def _likely(sketch: np.ndarray, sizes: np.ndarray, x, y, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of equal places of rows x and y, which broadcast, and which of the pairs are likely."""
+    same = (sketch[x] == sketch[y]).mean(axis=-1)
+    small, large = np.minimum(sizes[x], sizes[y]).astype(np.int64), np.maximum(sizes[x], sizes[y]).astype(np.int64)
+    return same, (same >= UNLIKELY) & (100 * small >= percent * large)
+
+
+def leaf_pairs(sketch: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, forest: bool = True) -> list[tuple[int, int]]:
+    """Likely pairs among a leaf's rows: a forest of the likeliest ones, or all."""
+    rows = np.arange(len(sketch))
+    same, likely = _likely(sketch, sizes, rows[:, None], rows[None, :], percent)
+    a, b = np.nonzero(np.triu(likely, 1))
+    if not forest:
+        return list(zip(a.tolist(), b.tolist(), strict=True))
     top = list(range(len(sketch)))
 
     def find(x: int) -> int:
@@ -163,42 +182,74 @@ def leaf_pairs(sketch: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) ->
         x, y = find(a[k]), find(b[k])
         if x != y:
             out.append((int(a[k]), int(b[k])))
-            if same[a[k], b[k]] >= SURE:
-                top[x] = y
+            top[x] = y
     return out
 
 
-def _region_pairs(order: int, sketch: np.ndarray, sizes: np.ndarray, percent: int):
-    """Pairs of row numbers of one region, whose rows are sorted and permuted."""
+def _core_pairs(sketch: np.ndarray, sizes: np.ndarray, rows: np.ndarray, core: np.ndarray, percent: int, forest: bool):
+    """Likely pairs of rows with core: the likeliest of each row, or all."""
+    for at in range(0, len(rows), BLOCK):
+        block = rows[at : at + BLOCK]
+        same, likely = _likely(sketch, sizes, block[:, None], core[None, :], percent)
+        if forest:
+            best = np.where(likely, same, 0).argmax(axis=1)
+            likely &= np.arange(len(core)) == best[:, None]
+        a, b = np.nonzero(likely)
+        yield from zip(block[a].tolist(), core[b].tolist(), strict=True)
+
+
+def _region_pairs(sketch: np.ndarray, sizes: np.ndarray, percent: int, forest: bool = True):
+    """Pairs of row numbers of one region, whose rows are sorted and permuted.
+
+    Of a crowded part the largest branch is followed down to its core, a leaf or a
+    run of equal sketches: a text that the others are copies of is likely in it, as
+    it has what most of them have at each place.  All other rows meet the core, the
+    two rows at a cut meet each other, and each branch is looked at in the same way.
+    """
     differ = sketch[:-1] != sketch[1:]
     common_prefix = np.where(differ.any(axis=1), differ.argmax(axis=1), SKETCH)
-    todo = [(0, len(sketch), MIN_DEPTH)]
+    todo = [(0, len(sketch))]
     while todo:
-        lo, hi, depth = todo.pop()
-        if hi - lo < 2:
-            continue
-        if hi - lo <= LEAF:
-            for a, b in leaf_pairs(sketch[lo:hi], sizes[lo:hi], percent):
-                yield lo + a, lo + b
-        elif (least := max(depth, int(common_prefix[lo : hi - 1].min()))) >= SKETCH:
+        lo, hi = start, end = todo.pop()
+        at_cuts = []
+        while hi - lo > LEAF and (least := int(common_prefix[lo : hi - 1].min())) < SKETCH:
+            cuts = [lo, *(np.flatnonzero(common_prefix[lo : hi - 1] == least) + lo + 1).tolist(), hi]
+            at_cuts += cuts[1:-1]
+            largest = int(np.argmax(np.diff(cuts)))
+            todo += [(x, y) for k, (x, y) in enumerate(itertools.pairwise(cuts)) if k != largest and y - x > 1]
+            lo, hi = cuts[largest], cuts[largest + 1]
+        if hi - lo > LEAF:  # all equal: one of them stands for the core
             yield from itertools.pairwise(range(lo, hi))
+            core = np.array([lo])
         else:
-            cuts = [lo, *(np.flatnonzero(common_prefix[lo : hi - 1] <= least) + lo + 1).tolist(), hi]
-            todo += [(x, y, least + 1) for x, y in itertools.pairwise(cuts)]
+            core = np.arange(lo, hi)
+            for a, b in leaf_pairs(sketch[lo:hi], sizes[lo:hi], percent, forest):
+                yield lo + a, lo + b
+        if at_cuts:
+            cut = np.array(at_cuts)
+            cut = cut[_likely(sketch, sizes, cut - 1, cut, percent)[1]]
+            yield from zip((cut - 1).tolist(), cut.tolist(), strict=True)
+            yield from _core_pairs(sketch, sizes, np.concatenate([np.arange(start, lo), np.arange(hi, end)]), core, percent, forest)
+
+
+def _orders(orders: int):
+    def run(batches):
+        for b in batches:
+            sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            for k in range(orders):
+                permuted = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), len(sketch), [None, pa.py_buffer(np.ascontiguousarray(sketch[:, PERMUTATIONS[k]]))])
+                yield pa.record_batch([pa.array(np.full(len(sketch), k, np.int32)), permuted.cast(pa.binary()), b.column("key"), b.column("n").cast(pa.int32()), b.column("component")], names=["tree", "permuted", "key", "n", "component"])
 
+    return run
 
-def _orders(batches):
-    for b in batches:
-        sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        for k in range(ORDERS):
-            permuted = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), len(sketch), [None, pa.py_buffer(np.ascontiguousarray(sketch[:, PERMUTATIONS[k]]))])
-            yield pa.record_batch([pa.array(np.full(len(sketch), k, np.int32)), permuted.cast(pa.binary()), b.column("key"), b.column("n").cast(pa.int32())], names=["tree", "permuted", "key", "n"])
 
+def _candidates(percent: int, forest: bool = True):
+    """Likely pairs of keys: a forest of the likeliest in each leaf, or all whose components differ."""
 
-def _candidates(percent: int):
-    def pairs_of(order, sketch, keys, sizes):
-        for a, b in _region_pairs(order, sketch, sizes, percent):
-            yield min(keys[a], keys[b]), max(keys[a], keys[b])
+    def pairs_of(sketch, keys, sizes, named):
+        for a, b in _region_pairs(sketch, sizes, percent, forest):
+            if forest or named[a] != named[b]:
+                yield min(keys[a], keys[b]), max(keys[a], keys[b])
 
     def run(batches):
         held = None  # the rows of the last region so far
@@ -206,18 +257,18 @@ def _candidates(percent: int):
             if b is not None:
                 if not b.num_rows:
                     continue
-                new = (b.column("tree").to_numpy(), np.frombuffer(b"".join(b.column("permuted").to_pylist()), np.uint8).reshape(-1, SKETCH), b.column("key").to_numpy(), b.column("n").to_numpy())
+                new = (b.column("tree").to_numpy(), np.frombuffer(b"".join(b.column("permuted").to_pylist()), np.uint8).reshape(-1, SKETCH), b.column("key").to_numpy(), b.column("n").to_numpy(), b.column("component").to_numpy(zero_copy_only=False))
                 held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
             if held is None:
                 break
-            tree, sketch, keys, sizes = held
+            tree, sketch, keys, sizes, named = held
             parts = (tree[1:] != tree[:-1]) | (sketch[1:, :MIN_DEPTH] != sketch[:-1, :MIN_DEPTH]).any(axis=1)
             cuts = np.concatenate([[0], np.flatnonzero(parts) + 1, [len(tree)]])
             last = len(cuts) - 1 if b is None or cuts[-1] - cuts[-2] >= REGION_ROWS else len(cuts) - 2
             found = []
             for k in np.flatnonzero(np.diff(cuts[: last + 1]) > 1):
                 lo, hi = cuts[k], cuts[k + 1]
-                found += pairs_of(int(tree[lo]), sketch[lo:hi], keys[lo:hi], sizes[lo:hi])
+                found += pairs_of(sketch[lo:hi], keys[lo:hi], sizes[lo:hi], named[lo:hi])
             held = tuple(x[cuts[last] :] for x in held) if last < len(cuts) - 1 else None
             found = set(found)
             yield pa.record_batch([pa.array([int(p[i]) for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -253,19 +304,32 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return common.written(rows.mapInArrow(_fingerprints(words), "key long, n long, digest binary, sketch binary"), "fingerprints")
 
 
-def links(docs: DataFrame, prints: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Confirmed links (a < b) between class representatives."""
-    classes = prints.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = common.written(classes.select("key", "n", "sketch"), "classes")
-    trees = classes.mapInArrow(_orders, "tree int, permuted binary, key long, n int")
+def _pairs(classes: DataFrame, percent: int, forest: bool) -> DataFrame:
+    trees = classes.mapInArrow(_orders(FIRST_ORDERS if forest else ORDERS), "tree int, permuted binary, key long, n int, component long")
     sorted_ = trees.repartitionByRange("tree", "permuted", "key").sortWithinPartitions("tree", "permuted", "key")
-    pairs = common.written(sorted_.mapInArrow(_candidates(percent), "a long, b long").distinct(), "candidates")
+    return sorted_.mapInArrow(_candidates(percent, forest), "a long, b long").distinct()
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     active = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(active.hint("shuffle_hash"), "key", "left_semi")
     # a key that comes twice stands for its smallest set
     sets = common.written(texts.mapInArrow(_set_rows(words), "key long, members binary").groupBy("key").agg(F.min("members").alias("members")), "sets")
     x, y = sets.select(F.col("key").alias("a"), F.col("members").alias("x")), sets.select(F.col("key").alias("b"), F.col("members").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
+    return common.written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "links")
+
+
+def links(docs: DataFrame, prints: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Edges (a, b) between class representatives that connect what confirmed links connect."""
+    classes = prints.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = common.written(classes.select("key", "n", "sketch"), "classes")
+    first = common.written(_pairs(classes.withColumn("component", F.col("key")), percent, True), "candidates")
+    named = common.written(components(_confirmed(docs, first, key, text, words, percent)), "components")
+    # what is still apart: all likely pairs, but for those that were looked at
+    apart = classes.join(named.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "sketch", F.coalesce("component", "key").alias("component"))
+    rest = common.written(_pairs(apart, percent, False).join(first, ["a", "b"], "left_anti"), "candidates")
+    edges = named.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return edges if rest.isEmpty() else edges.unionByName(_confirmed(docs, rest, key, text, words, percent))
 
 
 def components(edges: DataFrame) -> DataFrame:

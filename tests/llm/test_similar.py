@@ -93,9 +93,41 @@ def test_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in near_dedup.keep_one(rows).collect()) == [k for k, _, _, kept in got if kept]
 
 
+def edited(rng, base, edits):
+    words = list(base)
+    for k in rng.sample(range(len(words)), edits):
+        words[k] = f"new{rng.randrange(10**9)}"
+    return " ".join(words)
+
+
+def labels_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    return {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(rows).collect()}
+
+
+def test_copies_with_equal_sketches(spark):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(5000)]
+    texts = [edited(rng, base, 1) for _ in range(60)]
+    got = labels_of(spark, texts)
+    assert got == {k: first for k, _, first, _ in brute(enumerate(texts))}
+    assert set(got.values()) == {0}
+
+
+@pytest.mark.parametrize("edits", [1, 10])
+def test_crowd_of_copies(spark, edits):
+    """Each text is linked with the first; with 10 edits, with few others."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+    texts = [" ".join(base)] + [edited(rng, base, edits) for _ in range(3000)]
+    first = shingles(texts[0])
+    assert all(100 * len(first & x) >= 85 * len(first | x) for x in map(shingles, texts[1:]))
+    assert set(labels_of(spark, texts).values()) == {0}
+
+
 def test_long_run_of_equal_sketches_is_a_chain():
     same = np.zeros((100, near_dedup.SKETCH), np.uint8)
-    pairs = {tuple(sorted(map(int, p))) for p in near_dedup._region_pairs(0, same, np.full(100, 50), 85)}
+    pairs = {tuple(sorted(map(int, p))) for p in near_dedup._region_pairs(same, np.full(100, 50), 85)}
     assert {(k, k + 1) for k in range(99)} <= pairs
 
 
@@ -106,7 +138,7 @@ def test_each_order_reports_its_pairs():
     keys, sizes = pa.array([3, 4], pa.int64()), pa.array([50, 50], pa.int32())
     for k, p in enumerate(near_dedup.PERMUTATIONS):
         rows = sketch[:, p]
-        batch = pa.record_batch([pa.array([k, k], pa.int32()), pa.array([r.tobytes() for r in rows]), keys, sizes], names=["tree", "permuted", "key", "n"])
+        batch = pa.record_batch([pa.array([k, k], pa.int32()), pa.array([r.tobytes() for r in rows]), keys, sizes, keys], names=["tree", "permuted", "key", "n", "component"])
         found = [(r["a"], r["b"]) for out in near_dedup._candidates(85)([batch]) for r in out.to_pylist()]
         assert found == ([(3, 4)] if (rows[0] == rows[1])[: near_dedup.MIN_DEPTH].all() else [])
 
