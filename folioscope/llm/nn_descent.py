@@ -10,10 +10,11 @@ The search: greedy, with a beam of BEAM nodes for each query.  A step expands th
 best EXPAND nodes of each beam that aren't expanded yet, all queries at once, by
 a join with the neighbour lists; it ends when no beam has such a node.  A query
 that is a row of the table starts from its own node, others from ENTRIES hashed
-nodes.  The beam's best are scored anew, in double precision, on the original
+nodes.  The whole beam is scored anew, in double precision, on the original
 vectors.
 
-Graph and beams use vectors in one byte a component.  Equal vectors are one node;
+Graph and beams use vectors in single precision, all scaled by one power of two
+so that no product overflows.  Equal vectors are one node;
 of its rows only the smallest k + 1 ids can be in a result, and those are kept.
 Sets that grow with the data are always rows of a join: no list of reverse
 neighbours or copies is gathered beyond its fixed size, and a node that is in
@@ -43,7 +44,6 @@ ROUNDS = 4
 CHANGED = 0.02
 BEAM = 240
 EXPAND = 60
-RESCORED = 64
 FLUSH = 400_000
 GRAPH = "id long, nbr binary, score binary"
 
@@ -132,7 +132,7 @@ def _codes(scale: float, field: str):
     def run(batches):
         for b in batches:
             flat = b.column(field).flatten().to_numpy().astype(np.float64)
-            rows = np.clip(np.rint(flat * scale), -127, 127).astype(np.int8).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1), np.int8)
+            rows = (flat * scale).astype(np.float32).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1), np.float32)
             yield pa.record_batch([b.column("id"), _binary(rows)], names=["id", "code"])
 
     return run
@@ -140,7 +140,7 @@ def _codes(scale: float, field: str):
 
 def _vectors(column: pa.Array) -> np.ndarray:
     n = len(column)
-    return _bytes(column, np.int8).reshape(n, -1).astype(np.float32) if n else np.zeros((0, 1), np.float32)
+    return _bytes(column, np.float32).reshape(n, -1) if n else np.zeros((0, 1), np.float32)
 
 
 def _leaves(trees: int, bits: int):
@@ -252,8 +252,8 @@ def _packed(batches):
     for b in _grouped(batches, ["centre"]):
         centres, counts = np.unique(b.column("centre").to_numpy(), return_counts=True)
         codes = b.column("code").to_pylist()
-        flat = np.frombuffer(b"".join(codes), np.int8)
-        yield pa.record_batch([pa.array(centres, pa.int64()), _ragged(b.column("id").to_numpy(), counts), _ragged(flat, counts * (len(codes[0]) if codes else 0))], names=["id", "nbr", "codes"])
+        flat = np.frombuffer(b"".join(codes), np.float32)
+        yield pa.record_batch([pa.array(centres, pa.int64()), _ragged(b.column("id").to_numpy(), counts), _ragged(flat, counts * (len(codes[0]) // 4 if codes else 0))], names=["id", "nbr", "codes"])
 
 
 STATE = "q long, code binary, beam binary, scores binary, done binary, next array<long>"
@@ -265,7 +265,7 @@ def _expand(batches):
         qs, nbrs, scores, counts = [], [], [], []
         for q, code, worst, nbr, codes in zip(*(b.column(c).to_pylist() for c in ("q", "code", "worst", "nbr", "codes")), strict=True):
             ids = np.frombuffer(nbr, np.int64)
-            s = np.frombuffer(codes, np.int8).reshape(len(ids), -1).astype(np.float32) @ np.frombuffer(code, np.int8).astype(np.float32)
+            s = np.frombuffer(codes, np.float32).reshape(len(ids), -1) @ np.frombuffer(code, np.float32)
             good = s > worst
             if good.any():
                 qs.append(q)
@@ -306,7 +306,7 @@ def _step(beam: int, expand: int):
 
 
 def search(queries: DataFrame, starts: DataFrame, graph: DataFrame, codes: DataFrame, beam: int = BEAM, expand: int = EXPAND, reverse: int = REVERSE) -> DataFrame:
-    """Greedy search: for each of queries (q, code) the beam that it ends with, as (q, id) rows of its best RESCORED.
+    """Greedy search: for each of queries (q, code) the beam that it ends with, as (q, id) rows.
 
     starts: (q, id), the nodes from which a query starts.
     """
@@ -342,7 +342,7 @@ def search(queries: DataFrame, starts: DataFrame, graph: DataFrame, codes: DataF
 
     def final(batches):
         for b in batches:
-            beams = [np.frombuffer(x, np.int64)[:RESCORED] for x in b.column("beam").to_pylist()]
+            beams = [np.frombuffer(x, np.int64) for x in b.column("beam").to_pylist()]
             yield pa.record_batch([pa.array(np.repeat(b.column("q").to_numpy(), [len(x) for x in beams]), pa.int64()), pa.array(np.concatenate(beams) if beams else [], pa.int64())], names=["q", "id"])
 
     return state.select("q", "beam").mapInArrow(final, "q long, id long")
@@ -381,7 +381,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
     counts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("vec_id") % every == 0).cast("int")).alias("asked"))
     nodes = common.written(kept.join(counts, "digest").join(rows.select(F.col("vec_id").alias("id"), "v"), "id"), "nodes")
     found = nodes.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("rows"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("top")).first()
-    scale = 127 / found["top"] if found["top"] else 1.0
+    scale = 2.0 ** -int(np.frexp(found["top"])[1]) if found["top"] else 1.0
     codes = common.written(nodes.select("id", "v").mapInArrow(_codes(scale, "v"), "id long, code binary"), "codes")
     graph = build_graph(codes, found["n"], degree)
     asked = nodes.where("asked = 1").select("id")

@@ -34,6 +34,27 @@ def test_recall(spark, sf_dir):
     assert np.mean([len({*got[q]} & {*w}) / len(w) for q, w in want.items()]) >= 0.9
 
 
+def recall(spark, ids, x):
+    rows = [(i, [float(c) for c in v], 1) for i, v in zip(ids, x, strict=True)]
+    want, got = exact(ids, np.array(x, np.float32).astype(np.float64)), {}
+    for r in nn_descent.nearest(spark.createDataFrame(rows, V)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    return np.mean([len({*got[q]} & {*w}) / len(w) for q, w in want.items()])
+
+
+def test_recall_beside_a_large_vector(spark):
+    x = np.random.default_rng(3).normal(size=(600, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 1000
+    assert recall(spark, list(range(600)), x) >= 0.9
+
+
+def test_recall_in_tight_clusters(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(6, 16)), 100, axis=0) + rng.normal(size=(600, 16)) * 0.0005
+    assert recall(spark, list(range(600)), x) >= 0.9
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [nan, 1.0], 1), (5, [inf, 1.0], 1), (6, [None, 1.0], 1), (7, [1.0, 0.0], 1), (8, [], 1), (9, [1.0], 1), (20, [0.0, 1.0], 1), (20, [0.0, 1.0], 1), (None, [1.0, 1.0], 1), (40, [0.0, 0.0], 1)]
