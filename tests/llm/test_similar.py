@@ -152,6 +152,18 @@ def test_long_run_of_equal_sketches_is_a_chain():
     assert {(k, k + 1) for k in range(99)} <= pairs
 
 
+def test_a_rejected_pair_hides_no_other():
+    """Three alike sketches: the first pass gives a forest; while none is linked, the second gives all pairs."""
+    sketch = np.zeros((3, near_dedup.SKETCH), np.uint8)
+    sketch[1, 100:104] = sketch[2, 110:114] = 1
+    for forest, n in ((True, 2), (False, 3)):
+        assert len(near_dedup.leaf_pairs(sketch, np.array([50, 50, 50]), forest=forest)) == n
+    keys = pa.array([1, 2, 3], pa.int64())
+    batch = pa.record_batch([pa.array([0] * 3, pa.int32()), pa.array([r.tobytes() for r in sketch]), keys, pa.array([50] * 3, pa.int32()), pa.array([1, 1, 3], pa.int64())], names=["tree", "permuted", "key", "n", "component"])
+    found = sorted((r["a"], r["b"]) for out in near_dedup._candidates(85, False)([batch]) for r in out.to_pylist())
+    assert found == [(1, 3), (2, 3)]
+
+
 def test_each_order_reports_its_pairs():
     """A boundary can part a pair in the orders where its common prefix is longest."""
     sketch = np.zeros((2, near_dedup.SKETCH), np.uint8)
