@@ -161,7 +161,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float =
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Fits on at most rows labelled rows of each class whose crc32(key as text) mod 5 is not 0.
 
-    The ids are picked first, 2 * rows at most, and broadcast to one scan of docs.
+    The ids are picked first, 2 * rows at most, and broadcast to one scan of docs; of
+    an id that docs repeat, the smallest text counts.
     Labels other than 0 and 1, and rows without a text, are left out.
     """
     ids = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).where(F.col("label").isin(0, 1) & (F.crc32(F.col("key").cast("string")) % 5 != 0))
@@ -169,7 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str =
     picked = [ids.where(F.col("label") == k).orderBy(F.xxhash64("key"), "key").limit(rows) for k in (0, 1)]
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
     sample = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "key")
-    got = sorted((r["key"], r["text"], r["label"]) for r in sample.toLocalIterator())[: 4 * rows]
+    sample = sample.groupBy("key").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    got = sorted((r["key"], r["text"], r["label"]) for r in sample.toLocalIterator())
     return fit([r[1] for r in got], [r[2] for r in got])
 
 

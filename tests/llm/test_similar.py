@@ -223,6 +223,16 @@ def test_classifier_cases(spark):
     assert quality_classifier.fit([], []).offset == 0.0
 
 
+def test_repeated_ids_crowd_out_no_class(spark):
+    ids = [k for k in range(100) if not quality_classifier.is_held_out(k)][:4]
+    docs = spark.createDataFrame([(ids[0], "fine plain words")] * 50 + [(k, "## spam ##" if k > ids[1] else "fine plain words") for k in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k <= ids[1])) for k in ids], "doc_id long, quality int")
+    model = quality_classifier.train(docs, labels, rows=2)
+    assert model.weights.any()
+    once = quality_classifier.train(docs.distinct(), labels, rows=2)
+    assert (model.weights == once.weights).all() and model.offset == once.offset
+
+
 def test_pipeline(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
