@@ -5,10 +5,9 @@ of its own, and a rest.  Rests are placed longest first, each into the open
 sequence with the least room that still holds it; a segment tree over the
 remaining capacity finds that room in log2(window) steps.
 
-Plan: a map without shuffle.  Each task packs what it has read, so padding is
-that of best-fit decreasing over thousands of rests for each task, and it is at
-most one sequence worth a task beyond that.  A task holds one narrow row for
-each document it reads, and packs every PACK_ROWS of them, so memory is bounded.
+Plan: a map cuts documents into pieces, which are written to the shared folder.
+Rests, as narrow rows, are then dealt evenly over groups of GROUP_RESTS or fewer,
+each packed by one task, so padding doesn't depend on how the input is split.
 """
 
 from __future__ import annotations
@@ -25,8 +24,12 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 1024
-#: Rests packed together.
+#: Rests of a group, which are packed together.
+GROUP_RESTS = 20_000
+#: Rests that a task holds at most.
 PACK_ROWS = 500_000
+#: Sequences of rests have this bit in their number, full windows don't.
+RESTS = 1 << 60
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _KIND = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
 
@@ -84,9 +87,31 @@ def padded(filled: int, window: int = WINDOW) -> int:
     return filled if filled & (filled - 1) == 0 else window
 
 
-def _pack(name: str, end: int, window: int, pack_rows: int):
+def _cut(name: str, end: int, window: int):
+    """Pieces of documents; full windows have their sequence, rests none yet."""
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         e, base, n = common.encoder(name), TaskContext.get().partitionId() << 36, 0
+        for b in batches:
+            rows = []
+            for key, ids in zip(b.column("key").to_pylist(), e.each(b.column("text")), strict=True):
+                ids = np.append(ids, np.uint32(end)).astype("<u4")
+                data, total = ids.tobytes(), len(ids)
+                for at in range(0, total, window):
+                    piece = (key, at, min(window, total - at), zlib.crc32(data[4 * at : 4 * (at + window)]), total)
+                    full = piece[2] == window
+                    rows.append((*piece, base + n if full else None, 0))
+                    n += full
+            yield _batch(rows)
+
+    return run
+
+
+def _place(window: int, pack_rows: int):
+    """Packs the rests that a task reads, pack_rows of them at a time."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        base, n = RESTS | TaskContext.get().partitionId() << 36, 0
         rests: list[tuple] = []
 
         def flush(n: int) -> tuple[pa.RecordBatch, int]:
@@ -96,21 +121,10 @@ def _pack(name: str, end: int, window: int, pack_rows: int):
             return _batch(rows), n + 1 + max((s for s, _ in places), default=-1)
 
         for b in batches:
-            rows = []
-            for key, ids in zip(b.column("key").to_pylist(), e.each(b.column("text")), strict=True):
-                ids = np.append(ids, np.uint32(end)).astype("<u4")
-                data, total = ids.tobytes(), len(ids)
-                for at in range(0, total, window):
-                    piece = (key, at, min(window, total - at), zlib.crc32(data[4 * at : 4 * (at + window)]), total)
-                    if piece[2] == window:
-                        rows.append((*piece, base + n, 0))
-                        n += 1
-                    else:
-                        rests.append(piece)
-                if len(rests) >= pack_rows:
-                    more, n = flush(n)
-                    yield more
-            yield _batch(rows)
+            rests += zip(*(b.column(c).to_pylist() for c in _KIND.names[:5]), strict=True)
+            if len(rests) >= pack_rows:
+                more, n = flush(n)
+                yield more
         more, n = flush(n)
         yield more
 
@@ -125,12 +139,16 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: i
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each id of ids(text) + [end] lies in exactly one piece; offsets in a sequence
-    are gapless from 0.  sequence_id is the task's number and a count in it.  A
+    are gapless from 0.  sequence_id is the task's number and a count in it, with
+    the bit RESTS where rests are packed.  A
     null text is the empty one, whose only id is end; null or repeated keys pack as
     any other row does; an empty table gives no row; other columns aren't looked at.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(_pack(tokenizer, end, window, pack_rows), PIECES)
+    pieces = common.written(rows.mapInArrow(_cut(tokenizer, end, window), PIECES), "pieces")
+    rests = pieces.where("sequence_id is null")
+    groups = max(1, -(-rests.count() // GROUP_RESTS))
+    return pieces.where("sequence_id is not null").unionByName(rests.repartition(groups).mapInArrow(_place(window, pack_rows), PIECES))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,3 +138,11 @@ def test_empty_tables(spark):
     path = common.scratch(spark, "none")
     token_files.write_ids(none, path)
     assert not token_files.documents_of(spark, path).collect()
+
+
+def test_packing_does_not_depend_on_splits(spark):
+    docs = spark.createDataFrame([(k, "a few words " * (1 + k % 40)) for k in range(400)], "doc_id long, text string")
+    n = [packing.pack_documents(docs.repartition(parts)).select("sequence_id").distinct().count() for parts in (1, 50)]
+    rows = packing.pack_documents(docs.repartition(50)).collect()
+    assert n[0] == n[1]
+    assert len({r["doc_id"] for r in rows}) == 400
