@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINTS = "spark.checkpoint.dir"
 
@@ -36,7 +36,20 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and lost executors don't lose it."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table of written() that no later step reads."""
+    remove(df.sparkSession, df._scratch)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -49,10 +62,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 @functools.cache
 def tokenizer(path: str):
     """A tokenizers library file, loaded once by each process."""
@@ -76,7 +85,3 @@ def tokenizer_digest(path: str) -> str:
 
     with open(path, "rb") as f:
         return hashlib.sha256(f.read()).hexdigest()
-
-
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))

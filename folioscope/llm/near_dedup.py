@@ -11,7 +11,9 @@ A region of over LEAF classes is split by longer prefixes until its parts have a
 most LEAF, so that crowded regions ask for deeper agreement and sparse ones for
 less.  A run of equal sketches is linked as a chain.  What a split parts stays in
 touch: neighbours at a cut are a pair, and rows that leave a crowd meet its core.
-Pairs whose sketches are far from the threshold are left out.
+Pairs whose sketches are far from the threshold are left out, and so are those
+that a second sketch puts there: the least hash in each of BINS ranges, four bits
+each, which for a text of fewer shingles than ranges is nearly its whole set.
 
 Two passes: the first confirms, on the full shingle sets, a forest of the
 likeliest pairs of each leaf in FIRST_ORDERS orders.  The second confirms, in all
@@ -26,8 +28,9 @@ its rows are then connected through its core and the neighbours at cuts, and a
 pair that neither these nor other links connect is missed.
 
 Plan: orders are range-partitioned on (order, permuted sketch, id), so a region
-that holds a third of all rows is spread over tasks; a boundary can part two
-neighbours in one order, but not in the others.  Texts are shuffled once, by id,
+that holds a third of all rows is spread over tasks; a boundary between tasks can
+part two neighbours in one order, but not in the others, and the parts of a region
+of over REGION_ROWS overlap.  Texts are shuffled once, by id,
 to those that are in a candidate pair.  Links become components by alternating
 large-star and small-star steps.
 """
@@ -54,13 +57,18 @@ ORDERS = 20
 FIRST_ORDERS = 6
 MIN_DEPTH = 4
 LEAF = 32
-#: Share of equal places in two sketches below which a pair is no candidate (4 standard deviations under 0.85).
-UNLIKELY = 0.72
+#: Standard deviations under the threshold at which an estimate makes a pair no candidate.
+DEVIATIONS = 4
+#: Ranges of the second sketch, and the values that tell the least hashes of a range apart; 0 is an empty range.
+BINS = 256
+VALUES = 15
 #: Rows that are held against a core at once.
 BLOCK = 2048
 #: Rows of one region that are looked at together.
 REGION_ROWS = 200_000
 SLICE_BYTES = 4 << 20
+#: Bytes of both sketches.
+ROW = SKETCH + BINS // 2
 _P = np.uint64(0x100000001B3)
 _A = (np.frombuffer(b"".join(hashlib.sha256(b"a%d" % k).digest() for k in range(SKETCH // 4)), "<u8") | np.uint64(1)).copy()
 _B = np.frombuffer(b"".join(hashlib.sha256(b"b%d" % k).digest() for k in range(SKETCH // 4)), "<u8").copy()
@@ -144,11 +152,22 @@ def sketches(sets: list[np.ndarray], block: int = 1 << 15) -> np.ndarray:
     return out
 
 
+def bin_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of BINS half bytes for each set."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    least = np.full(len(sets) * BINS, np.uint64(2**64 - 1))
+    if sizes.sum():
+        h = _mix(np.concatenate(sets) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+        np.minimum.at(least, np.repeat(np.arange(len(sets)), sizes) * BINS + (h >> np.uint64(56)).astype(np.int64), h & np.uint64(2**56 - 1))
+    value = np.where(least == np.uint64(2**64 - 1), np.uint64(0), least % np.uint64(VALUES) + np.uint64(1)).astype(np.uint8).reshape(len(sets), BINS)
+    return value[:, ::2] | value[:, 1::2] << 4
+
+
 def _fingerprints(words: int):
     def run(batches):
         for b in batches:
             sets = shingle_sets(b.column("text"), words)
-            rows = sketches(sets)
+            rows = np.concatenate([sketches(sets), bin_sketches(sets)], axis=1)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.record_batch([b.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["key", "n", "digest", "sketch"])
 
@@ -157,9 +176,34 @@ def _fingerprints(words: int):
 
 def _likely(sketch: np.ndarray, sizes: np.ndarray, x, y, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Shares of equal places of rows x and y, which broadcast, and which of the pairs are likely."""
-    same = (sketch[x] == sketch[y]).mean(axis=-1)
+    t = percent / 100
+    same = (sketch[x, :SKETCH] == sketch[y, :SKETCH]).mean(axis=-1)
     small, large = np.minimum(sizes[x], sizes[y]).astype(np.int64), np.maximum(sizes[x], sizes[y]).astype(np.int64)
-    return same, (same >= UNLIKELY) & (100 * small >= percent * large)
+    return same, (same >= t - DEVIATIONS * np.sqrt(t * (1 - t) / SKETCH)) & (100 * small >= percent * large)
+
+
+def likely_by_bins(sketch: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs of rows x and y their second sketches leave likely.
+
+    Of the union's N shingles the U that are least in their ranges are drawn without
+    replacement, which is what the variance allows for; so does it for values that
+    are equal by chance.
+    """
+    out, t = np.ones(len(x), bool), percent / 100
+    for at in range(0, len(x), BLOCK):
+        i, j = x[at : at + BLOCK], y[at : at + BLOCK]
+        a, b = sketch[i, SKETCH:], sketch[j, SKETCH:]
+        seen, equal = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+        for part in (15, 240):
+            p, q = a & part, b & part
+            seen += ((p | q) != 0).sum(axis=1)
+            equal += ((p == q) & (p != 0)).sum(axis=1)
+        u = np.maximum(seen, 1)
+        n = (sizes[i].astype(np.int64) + sizes[j]) / (1 + t)
+        deviation = np.sqrt((t * (1 - t) * np.clip(1 - u / n, 0, 1) + (1 - t) / (VALUES - 1)) / u)
+        share = (equal / u - 1 / VALUES) / (1 - 1 / VALUES)
+        out[at : at + BLOCK] = share >= t - DEVIATIONS * deviation
+    return out
 
 
 def leaf_pairs(sketch: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, forest: bool = True) -> list[tuple[int, int]]:
@@ -167,6 +211,8 @@ def leaf_pairs(sketch: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, fo
     rows = np.arange(len(sketch))
     same, likely = _likely(sketch, sizes, rows[:, None], rows[None, :], percent)
     a, b = np.nonzero(np.triu(likely, 1))
+    keep = likely_by_bins(sketch, sizes, a, b, percent)
+    a, b = a[keep], b[keep]
     if not forest:
         return list(zip(a.tolist(), b.tolist(), strict=True))
     top = list(range(len(sketch)))
@@ -191,6 +237,8 @@ def _core_pairs(sketch: np.ndarray, sizes: np.ndarray, rows: np.ndarray, core: n
     for at in range(0, len(rows), BLOCK):
         block = rows[at : at + BLOCK]
         same, likely = _likely(sketch, sizes, block[:, None], core[None, :], percent)
+        a, b = np.nonzero(likely)
+        likely[a, b] = likely_by_bins(sketch, sizes, block[a], core[b], percent)
         if forest:
             best = np.where(likely, same, 0).argmax(axis=1)
             likely &= np.arange(len(core)) == best[:, None]
@@ -206,7 +254,7 @@ def _region_pairs(sketch: np.ndarray, sizes: np.ndarray, percent: int, forest: b
     it has what most of them have at each place.  All other rows meet the core, the
     two rows at a cut meet each other, and each branch is looked at in the same way.
     """
-    differ = sketch[:-1] != sketch[1:]
+    differ = sketch[:-1, :SKETCH] != sketch[1:, :SKETCH]
     common_prefix = np.where(differ.any(axis=1), differ.argmax(axis=1), SKETCH)
     todo = [(0, len(sketch))]
     while todo:
@@ -227,7 +275,7 @@ def _region_pairs(sketch: np.ndarray, sizes: np.ndarray, percent: int, forest: b
                 yield lo + a, lo + b
         if at_cuts:
             cut = np.array(at_cuts)
-            cut = cut[_likely(sketch, sizes, cut - 1, cut, percent)[1]]
+            cut = cut[_likely(sketch, sizes, cut - 1, cut, percent)[1] & likely_by_bins(sketch, sizes, cut - 1, cut, percent)]
             yield from zip((cut - 1).tolist(), cut.tolist(), strict=True)
             yield from _core_pairs(sketch, sizes, np.concatenate([np.arange(start, lo), np.arange(hi, end)]), core, percent, forest)
 
@@ -235,15 +283,16 @@ def _region_pairs(sketch: np.ndarray, sizes: np.ndarray, percent: int, forest: b
 def _orders(orders: int):
     def run(batches):
         for b in batches:
-            sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, ROW)
             for k in range(orders):
-                permuted = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), len(sketch), [None, pa.py_buffer(np.ascontiguousarray(sketch[:, PERMUTATIONS[k]]))])
+                rows = np.concatenate([sketch[:, PERMUTATIONS[k]], sketch[:, SKETCH:]], axis=1)
+                permuted = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ROW), len(rows), [None, pa.py_buffer(rows)])
                 yield pa.record_batch([pa.array(np.full(len(sketch), k, np.int32)), permuted.cast(pa.binary()), b.column("key"), b.column("n").cast(pa.int32()), b.column("component")], names=["tree", "permuted", "key", "n", "component"])
 
     return run
 
 
-def _candidates(percent: int, forest: bool = True):
+def _candidates(percent: int, forest: bool = True, region_rows: int = REGION_ROWS):
     """Likely pairs of keys: a forest of the likeliest in each leaf, or all whose components differ."""
 
     def pairs_of(sketch, keys, sizes, named):
@@ -257,19 +306,21 @@ def _candidates(percent: int, forest: bool = True):
             if b is not None:
                 if not b.num_rows:
                     continue
-                new = (b.column("tree").to_numpy(), np.frombuffer(b"".join(b.column("permuted").to_pylist()), np.uint8).reshape(-1, SKETCH), b.column("key").to_numpy(), b.column("n").to_numpy(), b.column("component").to_numpy(zero_copy_only=False))
+                new = (b.column("tree").to_numpy(), np.frombuffer(b"".join(b.column("permuted").to_pylist()), np.uint8).reshape(-1, ROW), b.column("key").to_numpy(), b.column("n").to_numpy(), b.column("component").to_numpy(zero_copy_only=False))
                 held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
             if held is None:
                 break
             tree, sketch, keys, sizes, named = held
             parts = (tree[1:] != tree[:-1]) | (sketch[1:, :MIN_DEPTH] != sketch[:-1, :MIN_DEPTH]).any(axis=1)
             cuts = np.concatenate([[0], np.flatnonzero(parts) + 1, [len(tree)]])
-            last = len(cuts) - 1 if b is None or cuts[-1] - cuts[-2] >= REGION_ROWS else len(cuts) - 2
+            crowded = cuts[-1] - cuts[-2] >= region_rows
+            last = len(cuts) - 1 if b is None or crowded else len(cuts) - 2
             found = []
             for k in np.flatnonzero(np.diff(cuts[: last + 1]) > 1):
                 lo, hi = cuts[k], cuts[k + 1]
                 found += pairs_of(sketch[lo:hi], keys[lo:hi], sizes[lo:hi], named[lo:hi])
-            held = tuple(x[cuts[last] :] for x in held) if last < len(cuts) - 1 else None
+            rest = max(cuts[-1] - LEAF, cuts[-2]) if crowded and b is not None else cuts[last]  # a region's parts overlap
+            held = tuple(x[rest:] for x in held) if rest < cuts[-1] else None
             found = set(found)
             yield pa.record_batch([pa.array([int(p[i]) for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -325,6 +376,7 @@ def links(docs: DataFrame, prints: DataFrame, key: str = "doc_id", text: str = "
     classes = common.written(classes.select("key", "n", "sketch"), "classes")
     first = common.written(_pairs(classes.withColumn("component", F.col("key")), percent, True), "candidates")
     named = common.written(components(_confirmed(docs, first, key, text, words, percent)), "components")
+    common.release(docs.sparkSession)
     # what is still apart: all likely pairs, but for those that were looked at
     apart = classes.join(named.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "sketch", F.coalesce("component", "key").alias("component"))
     rest = common.written(_pairs(apart, percent, False).join(first, ["a", "b"], "left_anti"), "candidates")
@@ -336,25 +388,29 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node), for every node of edges (a, b).
 
     Alternates large-star and small-star steps until nothing changes, which takes
-    about log(nodes) rounds; each round is a table in the shared folder.
+    about log(nodes) rounds; each round is a table in the shared folder, and the one
+    before it is deleted.  A hub's edges are joined with its least neighbour by
+    broadcast, so that a star of a third of all nodes is no task's alone.
     """
-    spark = edges.sparkSession
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    now = common.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "stars")
     state = None
     while True:
-        path = common.scratch(spark, "stars")
-        now.write.parquet(path)
-        new = spark.read.schema("a long, b long").parquet(path)
-        found = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        found = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if found == state or not found[0]:
-            return new.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(new.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
         state = found
-        both = new.unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        now = joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = _to_least(both, 2 * found[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        joined = _to_least(large, found[0])
+        new = common.written(joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "stars")
+        common.drop(now)
+        now = new
+
+
+def _to_least(edges: DataFrame, n_rows: int) -> DataFrame:
+    """edges (a, b) with m, the least of a and all its b."""
+    each = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    return hot_join(edges, each.select("a", F.least("a", "m").alias("m")), each.select("a", "n"), "a", n_rows)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

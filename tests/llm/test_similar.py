@@ -147,14 +147,16 @@ def test_crowd_of_copies(spark, edits):
 
 
 def test_long_run_of_equal_sketches_is_a_chain():
-    same = np.zeros((100, near_dedup.SKETCH), np.uint8)
+    same = np.zeros((100, near_dedup.ROW), np.uint8)
+    same[:, near_dedup.SKETCH :] = 17
     pairs = {tuple(sorted(map(int, p))) for p in near_dedup._region_pairs(same, np.full(100, 50), 85)}
     assert {(k, k + 1) for k in range(99)} <= pairs
 
 
 def test_a_rejected_pair_hides_no_other():
     """Three alike sketches: the first pass gives a forest; while none is linked, the second gives all pairs."""
-    sketch = np.zeros((3, near_dedup.SKETCH), np.uint8)
+    sketch = np.zeros((3, near_dedup.ROW), np.uint8)
+    sketch[:, near_dedup.SKETCH :] = 17
     sketch[1, 100:104] = sketch[2, 110:114] = 1
     for forest, n in ((True, 2), (False, 3)):
         assert len(near_dedup.leaf_pairs(sketch, np.array([50, 50, 50]), forest=forest)) == n
@@ -164,13 +166,42 @@ def test_a_rejected_pair_hides_no_other():
     assert found == [(1, 3), (2, 3)]
 
 
+@pytest.mark.parametrize("n", [3, 40, 146, 1000, 20_000])
+def test_bins_leave_out_no_pair_at_the_threshold(n):
+    """Of 2,000 pairs at the threshold, in unions of n, none is left out; of those well under it, most are."""
+    rng = np.random.default_rng(n)
+    pairs = 2000 if n < 2000 else 200
+    for share, least, most in ((0.85, 0.998, 1), (0.70, 0, 0.2 if n > 100 else 1)):
+        sets = []
+        for _ in range(pairs):
+            union = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            both = int(np.ceil(share * n))
+            half = both + (n - both) // 2
+            sets += [np.sort(union[:half]), np.sort(np.concatenate([union[:both], union[half:]]))]
+        sizes, rows = np.array([len(x) for x in sets]), near_dedup.bin_sketches(sets)
+        sketch = np.concatenate([np.zeros((len(rows), near_dedup.SKETCH), np.uint8), rows], axis=1)
+        likely = near_dedup.likely_by_bins(sketch, sizes, np.arange(0, len(sets), 2), np.arange(1, len(sets), 2), 85).mean()
+        assert least <= likely <= most
+
+
+def test_parts_of_a_crowded_region_overlap():
+    """200 rows of one region, in parts of 50: each row is linked with its neighbour, over the borders as well."""
+    sketch = np.full((200, near_dedup.ROW), 17, np.uint8)
+    keys, sizes = pa.array(range(200), pa.int64()), pa.array([50] * 200, pa.int32())
+    batch = pa.record_batch([pa.array([0] * 200, pa.int32()), pa.array([r.tobytes() for r in sketch]), keys, sizes, keys], names=["tree", "permuted", "key", "n", "component"])
+    batches = [batch.slice(k, 25) for k in range(0, 200, 25)]
+    found = {(r["a"], r["b"]) for out in near_dedup._candidates(85, True, 50)(batches) for r in out.to_pylist()}
+    assert {(k, k + 1) for k in range(199)} <= found
+
+
 def test_each_order_reports_its_pairs():
     """A boundary can part a pair in the orders where its common prefix is longest."""
-    sketch = np.zeros((2, near_dedup.SKETCH), np.uint8)
-    sketch[1, ::16] = 1
+    sketch = np.zeros((2, near_dedup.ROW), np.uint8)
+    sketch[:, near_dedup.SKETCH :] = 17
+    sketch[1, : near_dedup.SKETCH : 16] = 1
     keys, sizes = pa.array([3, 4], pa.int64()), pa.array([50, 50], pa.int32())
     for k, p in enumerate(near_dedup.PERMUTATIONS):
-        rows = sketch[:, p]
+        rows = np.concatenate([sketch[:, p], sketch[:, near_dedup.SKETCH :]], axis=1)
         batch = pa.record_batch([pa.array([k, k], pa.int32()), pa.array([r.tobytes() for r in rows]), keys, sizes, keys], names=["tree", "permuted", "key", "n", "component"])
         found = [(r["a"], r["b"]) for out in near_dedup._candidates(85)([batch]) for r in out.to_pylist()]
         assert found == ([(3, 4)] if (rows[0] == rows[1])[: near_dedup.MIN_DEPTH].all() else [])
