@@ -67,6 +67,8 @@ BLOCK = 2048
 #: Rows of one region that are looked at together.
 REGION_ROWS = 200_000
 SLICE_BYTES = 4 << 20
+#: A node with more links than this, and a thousandth of all, is a hub.
+HUB = 10_000
 #: Bytes of both sketches.
 ROW = SKETCH + BINS // 2
 _P = np.uint64(0x100000001B3)
@@ -183,14 +185,14 @@ def _likely(sketch: np.ndarray, sizes: np.ndarray, x, y, percent: int) -> tuple[
 
 
 def likely_by_bins(sketch: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the pairs of rows x and y their second sketches leave likely.
+    """Which of the pairs of rows x and y their second sketches, if there are such, leave likely.
 
     Of the union's N shingles the U that are least in their ranges are drawn without
     replacement, which is what the variance allows for; so does it for values that
     are equal by chance.
     """
     out, t = np.ones(len(x), bool), percent / 100
-    for at in range(0, len(x), BLOCK):
+    for at in range(0, len(x) if sketch.shape[1] > SKETCH else 0, BLOCK):
         i, j = x[at : at + BLOCK], y[at : at + BLOCK]
         a, b = sketch[i, SKETCH:], sketch[j, SKETCH:]
         seen, equal = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
@@ -280,13 +282,15 @@ def _region_pairs(sketch: np.ndarray, sizes: np.ndarray, percent: int, forest: b
             yield from _core_pairs(sketch, sizes, np.concatenate([np.arange(start, lo), np.arange(hi, end)]), core, percent, forest)
 
 
-def _orders(orders: int):
+def _orders(orders: int, width: int):
+    """The orders' rows, with the first width bytes of both sketches."""
+
     def run(batches):
         for b in batches:
             sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, ROW)
             for k in range(orders):
-                rows = np.concatenate([sketch[:, PERMUTATIONS[k]], sketch[:, SKETCH:]], axis=1)
-                permuted = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ROW), len(rows), [None, pa.py_buffer(rows)])
+                rows = np.concatenate([sketch[:, PERMUTATIONS[k]], sketch[:, SKETCH:width]], axis=1)
+                permuted = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows)])
                 yield pa.record_batch([pa.array(np.full(len(sketch), k, np.int32)), permuted.cast(pa.binary()), b.column("key"), b.column("n").cast(pa.int32()), b.column("component")], names=["tree", "permuted", "key", "n", "component"])
 
     return run
@@ -306,7 +310,7 @@ def _candidates(percent: int, forest: bool = True, region_rows: int = REGION_ROW
             if b is not None:
                 if not b.num_rows:
                     continue
-                new = (b.column("tree").to_numpy(), np.frombuffer(b"".join(b.column("permuted").to_pylist()), np.uint8).reshape(-1, ROW), b.column("key").to_numpy(), b.column("n").to_numpy(), b.column("component").to_numpy(zero_copy_only=False))
+                new = (b.column("tree").to_numpy(), np.frombuffer(b"".join(b.column("permuted").to_pylist()), np.uint8).reshape(b.num_rows, -1), b.column("key").to_numpy(), b.column("n").to_numpy(), b.column("component").to_numpy(zero_copy_only=False))
                 held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
             if held is None:
                 break
@@ -356,7 +360,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 
 
 def _pairs(classes: DataFrame, percent: int, forest: bool) -> DataFrame:
-    trees = classes.mapInArrow(_orders(FIRST_ORDERS if forest else ORDERS), "tree int, permuted binary, key long, n int, component long")
+    orders = _orders(FIRST_ORDERS, SKETCH) if forest else _orders(ORDERS, ROW)
+    trees = classes.mapInArrow(orders, "tree int, permuted binary, key long, n int, component long")
     sorted_ = trees.repartitionByRange("tree", "permuted", "key").sortWithinPartitions("tree", "permuted", "key")
     return sorted_.mapInArrow(_candidates(percent, forest), "a long, b long").distinct()
 
@@ -409,8 +414,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _to_least(edges: DataFrame, n_rows: int) -> DataFrame:
     """edges (a, b) with m, the least of a and all its b."""
-    each = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-    return hot_join(edges, each.select("a", F.least("a", "m").alias("m")), each.select("a", "n"), "a", n_rows)
+    each = common.written(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    least = each.select("a", F.least("a", "m").alias("m"))
+    if (each.agg(F.max("n")).first()[0] or 0) <= HUB:
+        return edges.join(least, "a")
+    return hot_join(edges, least, each.select("a", F.when(F.col("n") > HUB, F.col("n")).otherwise(0).alias("n")), "a", n_rows)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
