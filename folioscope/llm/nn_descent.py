@@ -6,24 +6,25 @@ REVERSE nodes that have it as theirs, with each other: what are neighbours of a
 common node are scored, and whoever beats a node's worst neighbour takes its
 place.  Rounds end when few places change, or after ROUNDS.
 
-The search: greedy, with a beam of BEAM nodes for each query.  A step expands the
-best EXPAND nodes of each beam that aren't expanded yet, all queries at once, by
-a join with the neighbour lists; it ends when no beam has such a node.  A query
-that is a row of the table starts from its own node, others from ENTRIES hashed
-nodes.  The whole beam is scored anew, in double precision, on the original
-vectors.
+The search: greedy, with a beam of BEAM nodes for each query, which is a row of
+the table and starts from its own node.  A step expands the best EXPAND nodes of
+each beam that aren't expanded yet, all queries at once: their neighbour lists,
+which hold ids alone, are joined, and only the vectors of nodes that the query
+hasn't met are fetched and scored.  It ends when no beam has a node to expand.  The
+whole beam is scored anew, in double precision, on the original vectors.
 
 Graph and beams use vectors in single precision, all scaled by one power of two
 so that no product overflows.  Equal vectors are one node;
 of its rows only the smallest k + 1 ids can be in a result, and those are kept.
 Sets that grow with the data are always rows of a join: no list of reverse
-neighbours or copies is gathered beyond its fixed size, and a node that is in
-many lists merges its candidates within each task before they are shuffled.
+neighbours or copies is gathered beyond its fixed size.  A node that is in many
+lists or beams (with vectors of unequal lengths, the longest is everyone's
+neighbour) is joined by broadcast, so that no task has all of its rows.  Graphs,
+lists and beams that are over are deleted.
 """
 
 from __future__ import annotations
 
-import gc
 import itertools
 
 import numpy as np
@@ -42,18 +43,12 @@ LEAF = 1024
 ROUNDS = 4
 #: Rounds end when fewer than this share of all places changed.
 CHANGED = 0.02
-BEAM = 240
-EXPAND = 60
+BEAM = 224
+EXPAND = 96
 FLUSH = 400_000
 GRAPH = "id long, nbr binary, score binary"
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _binary(rows: np.ndarray) -> pa.Array:
     """Each row's bytes."""
     rows = np.ascontiguousarray(rows)
@@ -218,7 +213,12 @@ def _members(graph: DataFrame, reverse: int) -> DataFrame:
     edges = _explode(graph, "centre")
     w = W.partitionBy("nbr").orderBy(F.desc("score"), "centre")
     back = edges.withColumn("r", F.row_number().over(w)).where(F.col("r") <= reverse).select(F.col("nbr").alias("centre"), F.col("centre").alias("id"))
-    return edges.select("centre", F.col("nbr").alias("id")).unionByName(back).distinct()
+    return common.written(edges.select("centre", F.col("nbr").alias("id")).unionByName(back).distinct(), "members")
+
+
+def _spread_join(rows: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Written rows joined with right, which has one row for each key, however many rows a key has."""
+    return hot_join(rows, right, rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, rows.count())
 
 
 def build_graph(codes: DataFrame, n: int, degree: int = DEGREE, reverse: int = REVERSE, rounds: int = ROUNDS) -> DataFrame:
@@ -236,113 +236,104 @@ def build_graph(codes: DataFrame, n: int, degree: int = DEGREE, reverse: int = R
 
     for _ in range(rounds):
         state = codes.join(graph.mapInArrow(worst, "id long, worst double"), "id", "left").select("id", "code", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
-        members = _members(graph, reverse).join(state, "id")
-        joined = members.repartition("centre").sortWithinPartitions("centre").select("centre", "id", "worst", "code").mapInArrow(_local_join(degree), GRAPH)
+        members = _members(graph, reverse)
+        rows = _spread_join(members, state, "id").select("centre", "id", "worst", "code")
+        joined = rows.repartition("centre").sortWithinPartitions("centre").mapInArrow(_local_join(degree), GRAPH)
         new = common.written(merge(graph.unionByName(joined), degree), "graph")
         changed = _explode(new, "id").join(_explode(graph, "id").select("id", "nbr"), ["id", "nbr"], "left_anti").count()
+        common.drop(graph)
+        common.drop(members)
         graph = new
-        _release(spark)
+        common.release(spark)
         if changed < CHANGED * degree * n:
             break
     return graph
 
 
 def _packed(batches):
-    """Neighbour lists with the neighbours' codes: rows are (centre, id, code)."""
+    """Rows (centre, id) as lists of ids."""
     for b in _grouped(batches, ["centre"]):
         centres, counts = np.unique(b.column("centre").to_numpy(), return_counts=True)
-        codes = b.column("code").to_pylist()
-        flat = np.frombuffer(b"".join(codes), np.float32)
-        yield pa.record_batch([pa.array(centres, pa.int64()), _ragged(b.column("id").to_numpy(), counts), _ragged(flat, counts * (len(codes[0]) // 4 if codes else 0))], names=["id", "nbr", "codes"])
+        yield pa.record_batch([pa.array(centres, pa.int64()), _ragged(b.column("id").to_numpy(), counts)], names=["id", "nbr"])
 
 
-STATE = "q long, code binary, beam binary, scores binary, done binary, next array<long>"
+STATE = "q long, code binary, beam binary, scores binary, done binary, seen binary, next array<long>"
 
 
-def _expand(batches):
-    """Rows are (q, code, worst, nbr, codes); gives (q, nbr, score) of what beats worst."""
-    for b in batches:
-        qs, nbrs, scores, counts = [], [], [], []
-        for q, code, worst, nbr, codes in zip(*(b.column(c).to_pylist() for c in ("q", "code", "worst", "nbr", "codes")), strict=True):
-            ids = np.frombuffer(nbr, np.int64)
-            s = np.frombuffer(codes, np.float32).reshape(len(ids), -1) @ np.frombuffer(code, np.float32)
-            good = s > worst
-            if good.any():
-                qs.append(q)
-                nbrs.append(ids[good])
-                scores.append(s[good])
-                counts.append(int(good.sum()))
-        flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        yield pa.record_batch([pa.array(qs, pa.int64()), _ragged(flat(nbrs, np.int64), np.array(counts, np.int64)), _ragged(flat(scores, np.float32), np.array(counts, np.int64))], names=["q", "nbr", "score"])
+def _ids(value) -> np.ndarray:
+    return np.frombuffer(value or b"", np.int64)
+
+
+def _unseen(batches):
+    """Rows are (q, seen, nbr), one of a query with seen and any with nbr; gives (q, nbr) of the neighbours that aren't seen."""
+    for b in _grouped(batches, ["q"]):
+        qs, seen, nbrs = (b.column(c).to_pylist() for c in ("q", "seen", "nbr"))
+        out = []
+        for q, rows in itertools.groupby(range(b.num_rows), key=qs.__getitem__):
+            rows = list(rows)
+            new = np.unique(np.concatenate([_ids(nbrs[k]) for k in rows]))
+            out.append((q, np.setdiff1d(new, np.concatenate([_ids(seen[k]) for k in rows]), assume_unique=True)))
+        yield pa.record_batch([pa.array(np.repeat(np.array([q for q, _ in out], np.int64), [len(x) for _, x in out])), pa.array(np.concatenate([x for _, x in out]) if out else [], pa.int64())], names=["q", "nbr"])
 
 
 def _step(beam: int, expand: int):
-    """Merges a query's state with what its expansions found: rows are (q, code, beam, scores, done) or (q, nbr, score)."""
+    """Merges a query's state with the nodes that it met: rows are (q, code, beam, scores, done, seen) or (q, nbr, vector)."""
 
     def run(batches):
-        kind = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        kind = [pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64())]
         for b in _grouped(batches, ["q"]):
-            cols = {c: b.column(c).to_pylist() for c in ("q", "code", "beam", "scores", "done")}
+            cols = {c: b.column(c).to_pylist() for c in ("q", "code", "beam", "scores", "done", "seen", "nbr", "vector")}
             out = []
-            for q, rows in itertools.groupby(range(b.num_rows), key=lambda k: cols["q"][k]):
+            for q, rows in itertools.groupby(range(b.num_rows), key=cols["q"].__getitem__):
                 rows = list(rows)
-                code = next(cols["code"][k] for k in rows if cols["code"][k] is not None)
-                ids = np.concatenate([np.frombuffer(cols["beam"][k], np.int64) for k in rows])
-                scores = np.concatenate([np.frombuffer(cols["scores"][k], np.float32) for k in rows])
-                done = np.concatenate([np.frombuffer(cols["done"][k], np.int8) if cols["done"][k] is not None else np.zeros(len(cols["beam"][k]) // 8, np.int8) for k in rows])
-                order = np.lexsort((-done, ids))  # of a node that is there twice, the expanded one
-                ids, scores, done = ids[order], scores[order], done[order]
-                fresh = np.ones(len(ids), bool)
-                fresh[1:] = ids[1:] != ids[:-1]
-                ids, scores, done = ids[fresh], scores[fresh], done[fresh]
+                own = next(k for k in rows if cols["code"][k] is not None)
+                met = [k for k in rows if cols["nbr"][k] is not None]
+                code = np.frombuffer(cols["code"][own], np.float32)
+                new = np.array([cols["nbr"][k] for k in met], np.int64)
+                score = np.frombuffer(b"".join(cols["vector"][k] for k in met), np.float32).reshape(len(new), len(code)) @ code
+                ids, scores = np.concatenate([_ids(cols["beam"][own]), new]), np.concatenate([np.frombuffer(cols["scores"][own], np.float32), score])
+                done = np.concatenate([np.frombuffer(cols["done"][own], np.int8), np.zeros(len(new), np.int8)])
+                seen = np.concatenate([_ids(cols["seen"][own]), new])
                 order = np.lexsort((ids, -scores))[:beam]
-                ids, scores, done = ids[order], scores[order], done[order].copy()
+                ids, scores, done = ids[order], scores[order], done[order]
                 todo = np.flatnonzero(done == 0)[:expand]
                 done[todo] = 1
-                out.append((q, code, ids.tobytes(), scores.tobytes(), done.tobytes(), ids[todo].tolist()))
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(list(zip(*out, strict=True)) or [[]] * 6, kind, strict=True)], names=["q", "code", "beam", "scores", "done", "next"])
+                out.append((q, cols["code"][own], ids.tobytes(), scores.tobytes(), done.tobytes(), seen.tobytes(), ids[todo].tolist()))
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(list(zip(*out, strict=True)) or [[]] * 7, kind, strict=True)], names=["q", "code", "beam", "scores", "done", "seen", "next"])
 
     return run
 
 
-def search(queries: DataFrame, starts: DataFrame, graph: DataFrame, codes: DataFrame, beam: int = BEAM, expand: int = EXPAND, reverse: int = REVERSE) -> DataFrame:
-    """Greedy search: for each of queries (q, code) the beam that it ends with, as (q, id) rows.
-
-    starts: (q, id), the nodes from which a query starts.
-    """
+def search(queries: DataFrame, graph: DataFrame, codes: DataFrame, beam: int = BEAM, expand: int = EXPAND, reverse: int = REVERSE) -> DataFrame:
+    """Greedy search: for each of queries (q, code), which are nodes, the beam that it ends with, as (q, id) rows."""
     spark = queries.sparkSession
-    packed = _members(graph, reverse).join(codes, "id").repartition("centre").sortWithinPartitions("centre").select("centre", "id", "code").mapInArrow(_packed, "id long, nbr binary, codes binary")
-    packed = common.written(packed, "lists")
-    first = starts.join(codes.withColumnRenamed("code", "codes"), "id").join(queries, "q")
-    first = first.select("q", "code", F.lit(float("-inf")).alias("worst"), F.col("id"), "codes")
-
-    def nodes(batches):  # a start is a list of one
-        for b in batches:
-            yield b.set_column(3, "nbr", _binary(b.column("id").to_numpy().reshape(-1, 1)))
-
-    found = first.mapInArrow(nodes, "q long, code binary, worst double, nbr binary, codes binary").mapInArrow(_expand, "q long, nbr binary, score binary")
-    blank = queries.select("q", "code", F.lit(b"").alias("beam"), F.lit(b"").alias("scores"), F.lit(b"").alias("done"))
-
-    def worst(batches):
-        for b in batches:
-            full = [np.frombuffer(x, np.float32) for x in b.column("scores").to_pylist()]
-            yield pa.record_batch([b.column("q"), b.column("code"), b.column("next"), pa.array([float(x[-1]) if len(x) >= beam else float("-inf") for x in full], pa.float64())], names=["q", "code", "next", "worst"])
-
+    members = _members(graph, reverse)
+    lists = common.written(members.repartition("centre").sortWithinPartitions("centre").mapInArrow(_packed, "id long, nbr binary"), "lists")
+    common.drop(members)
+    none = F.lit(b"")
+    vectors = codes.select(F.col("id").alias("nbr"), F.col("code").alias("vector"))
+    state = queries.select("q", "code", none.alias("beam"), none.alias("scores"), none.alias("done"), none.alias("seen"))
+    met, old = common.written(queries.select("q", F.col("q").alias("nbr")), "met"), None
     while True:
-        more = found.select("q", F.lit(None).cast("binary").alias("code"), F.col("nbr").alias("beam"), F.col("score").alias("scores"), F.lit(None).cast("binary").alias("done"))
-        state = blank.unionByName(more).repartition("q").sortWithinPartitions("q").mapInArrow(_step(beam, expand), STATE)
-        state = common.written(state, "beams")
+        blank = [F.lit(None).cast("binary").alias(c) for c in ("code", "beam", "scores", "done", "seen")]
+        rows = state.select("q", "code", "beam", "scores", "done", "seen", F.lit(None).cast("long").alias("nbr"), F.lit(None).cast("binary").alias("vector"))
+        rows = rows.unionByName(_spread_join(met, vectors, "nbr").select("q", *blank, "nbr", "vector"))
+        state = common.written(rows.repartition("q").sortWithinPartitions("q").mapInArrow(_step(beam, expand), STATE), "beams")
+        for t in (met, old) if old is not None else (met,):
+            common.drop(t)
+        old = state
+        common.release(spark)
         if state.where(F.size("next") > 0).isEmpty():
             break
-        todo = state.select("q", "code", "next", "scores").mapInArrow(worst, "q long, code binary, next array<long>, worst double")
-        todo = todo.select("q", "code", "worst", F.explode("next").alias("id"))
-        found = todo.join(packed, "id").select("q", "code", "worst", "nbr", "codes").mapInArrow(_expand, "q long, nbr binary, score binary")
-        blank = state.drop("next")
-        _release(spark)
+        todo = common.written(state.select("q", F.explode("next").alias("id")), "todo")
+        near = _spread_join(todo, lists, "id").where("nbr is not null").select("q", F.lit(None).cast("binary").alias("seen"), "nbr")
+        known = state.where(F.size("next") > 0).select("q", "seen", F.lit(None).cast("binary").alias("nbr"))
+        met = common.written(known.unionByName(near).repartition("q").sortWithinPartitions("q").mapInArrow(_unseen, "q long, nbr long"), "met")
+        common.drop(todo)
 
     def final(batches):
         for b in batches:
-            beams = [np.frombuffer(x, np.int64) for x in b.column("beam").to_pylist()]
+            beams = [_ids(x) for x in b.column("beam").to_pylist()]
             yield pa.record_batch([pa.array(np.repeat(b.column("q").to_numpy(), [len(x) for x in beams]), pa.int64()), pa.array(np.concatenate(beams) if beams else [], pa.int64())], names=["q", "id"])
 
     return state.select("q", "beam").mapInArrow(final, "q long, id long")
@@ -386,9 +377,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
     graph = build_graph(codes, found["n"], degree)
     asked = nodes.where("asked = 1").select("id")
     queries = codes.join(asked, "id", "left_semi").select(F.col("id").alias("q"), "code")
-    ends = search(queries, queries.select("q", F.col("q").alias("id")), graph, codes, beam)
+    ends = common.written(search(queries, graph, codes, beam), "ends")
     x, y = nodes.select(F.col("id").alias("q"), F.col("v").alias("x")), nodes.select("id", F.col("v").alias("y"))
-    scored = ends.join(x, "q").join(y, "id").select("q", "id", "x", "y").mapInArrow(_exact, "q long, id long, score double")
+    scored = _spread_join(ends, y, "id").join(x, "q").select("q", "id", "x", "y").mapInArrow(_exact, "q long, id long, score double")
     each = scored.join(nodes.select("id", "ids"), "id").select("q", "score", F.explode("ids").alias("vec_id"))
     best_ = each.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
     lists = best_.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))

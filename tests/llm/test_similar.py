@@ -16,11 +16,12 @@ V = "vec_id long, embedding array<float>, id int"
 
 
 def exact(ids, x, k=20, every=20):
-    out = {}
-    for i, q in enumerate(ids):
-        if q % every == 0:
-            s = x @ x[i]
-            out[q] = [int(ids[j]) for j in sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-s[j], ids[j]))[:k]]
+    out, ids = {}, np.asarray(ids)
+    for i in np.flatnonzero(ids % every == 0):
+        s = x @ x[i]
+        s[i] = -np.inf
+        near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.delete(np.arange(len(s)), i)
+        out[int(ids[i])] = ids[near[np.lexsort((ids[near], -s[near]))][:k]].tolist()
     return out
 
 
@@ -35,9 +36,10 @@ def test_recall(spark, sf_dir):
 
 
 def recall(spark, ids, x):
-    rows = [(i, [float(c) for c in v], 1) for i, v in zip(ids, x, strict=True)]
-    want, got = exact(ids, np.array(x, np.float32).astype(np.float64)), {}
-    for r in nn_descent.nearest(spark.createDataFrame(rows, V)).orderBy("query_id", "rank").collect():
+    x = np.array(x, np.float32)
+    rows = spark.createDataFrame(pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32())), "id": pa.array([1] * len(ids), pa.int32())}))
+    want, got = exact(ids, x.astype(np.float64)), {}
+    for r in nn_descent.nearest(rows).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     return np.mean([len({*got[q]} & {*w}) / len(w) for q, w in want.items()])
 
@@ -55,6 +57,19 @@ def test_recall_in_tight_clusters(spark):
     assert recall(spark, list(range(600)), x) >= 0.9
 
 
+def test_recall_with_unequal_lengths(spark):
+    """The longest vectors are everyone's neighbours."""
+    rng = np.random.default_rng(6)
+    assert recall(spark, list(range(3000)), rng.normal(size=(3000, 16)) * rng.lognormal(0, 1, (3000, 1))) >= 0.9
+
+
+def test_recall_over_many_leaves(spark):
+    """50,000 vectors in 40 clusters: the tree's leaves, the graph and the search all matter."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 24))[rng.integers(0, 40, 50_000)] + rng.normal(size=(50_000, 24)) * 0.6
+    assert recall(spark, list(range(50_000)), x / np.linalg.norm(x, axis=1)[:, None]) >= 0.9
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [nan, 1.0], 1), (5, [inf, 1.0], 1), (6, [None, 1.0], 1), (7, [1.0, 0.0], 1), (8, [], 1), (9, [1.0], 1), (20, [0.0, 1.0], 1), (20, [0.0, 1.0], 1), (None, [1.0, 1.0], 1), (40, [0.0, 0.0], 1)]
@@ -214,7 +229,9 @@ def test_repeated_rows_and_null_keys(spark):
     assert not near_dedup.near_duplicates(rows.where("false")).collect()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [10_000, 50])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(near_dedup, "HUB", hub)
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(rng.randrange(2000, 2200), rng.randrange(2000, 2200)) for _ in range(90)]
     top = {}
