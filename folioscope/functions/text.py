@@ -7,18 +7,38 @@ from pyspark.sql import functions as F
 
 #: Runs of white space as every engine here understands them.
 SPACE = r"[ \t\n\r\f\x0B]+"
+
+# ---- fixed values: patterns, words and bounds on which results depend
+
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z(])"
-#: What a reference to another section looks like, in order of precedence.
-REFERENCES = (
-    r"(?iU)\b(?:under|per|see)\s+section\s+(\d+[A-Z]?)\b",
-    r"(?iU)\bsection\s+(\d+[A-Z]?)\b",
-    r"(?iU)\bs\.\s*(\d+[A-Z]?)\b",
-    r"(?iU)(?<!\w)§\s*(\d+[A-Z]?)\b",
-    r"(?iU)\brule\s+(\d+[A-Z]?)\b",
-    r"(?iU)\border\s+([IVXLC]+)\b",
-    r"(?iU)\barticle\s+(\d+)\b",
-    r"(?iU)\bchapter\s+([IVXLC]+)\b",
+#: References of a section to others, as a parser counts them.
+PARSED_REFERENCES = (
+    r"section\s+(\d+[A-Z]?)",
+    r"under\s+section\s+(\d+[A-Z]?)",
+    r"subject\s+to\s+(?:the\s+provisions\s+of\s+)?section\s+(\d+[A-Z]?)",
+    r"referred\s+to\s+in\s+section\s+(\d+[A-Z]?)",
+    r"provided\s+(?:for\s+)?(?:in|under)\s+section\s+(\d+[A-Z]?)",
+    r"notwithstanding\s+(?:anything\s+)?(?:contained\s+)?in\s+section\s+(\d+[A-Z]?)",
+    r"order\s+([IVX]+)",
+    r"rule\s+(\d+)",
 )
+#: References that a chunk is augmented with, in the order in which they count.
+CHUNK_REFERENCES = (
+    r"subject\s+to\s+(?:the\s+provisions\s+of\s+)?section\s+(\d+[A-Z]?)",
+    r"notwithstanding\s+(?:anything\s+)?(?:contained\s+)?in\s+section\s+(\d+[A-Z]?)",
+    r"under\s+section\s+(\d+[A-Z]?)",
+    r"referred\s+to\s+in\s+section\s+(\d+[A-Z]?)",
+    r"section\s+(\d+[A-Z]?)",
+    r"order\s+([IVX]+)",
+    r"rule\s+(\d+)",
+)
+#: Datasets by what a path holds, in this order, then by words of the query, in this one.
+PATH_DATASETS = ("contractnli", "cuad", "maud", "privacyqa")
+WORD_DATASETS = (("contractnli", ("non-disclosure", "nda")), ("privacyqa", ("privacy", "data practice")), ("maud", ("merger", "acquisition", "m&a")))
+DEFAULT_DATASET = "cuad"
+
+# ----
+
 #: Version 1 of the stop words that a lexical index may leave out.
 STOP_WORDS_V1 = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 
@@ -48,7 +68,8 @@ def terms(text: Column, least: int = 2) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(text, SENTENCE_END), lambda s: s != "")
+    """Stripped sentences, blank ones left out."""
+    return F.filter(F.transform(F.split(text, SENTENCE_END), strip), lambda s: s != "")
 
 
 def stem(path: Column) -> Column:
@@ -56,26 +77,38 @@ def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
-def mentioned_sections(text: Column) -> Column:
-    """Distinct section or article numbers that a text mentions: extract once, then join on equality."""
-    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (r"(?iU)\b(?:section|article)\s+(\w+)\b", r"(?U)(?<!\w)§\s*(\w+)\b")]
+def mentioned_sections(text: Column, compat: bool = False) -> Column:
+    """Distinct section or article numbers that a text mentions: extract once, then join on equality.
+
+    compat: a § counts only right after a word's character.
+    """
+    sign = r"(?U)\b§\s*(\w+)\b" if compat else r"(?U)(?<!\w)§\s*(\w+)\b"
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (r"(?iU)\b(?:section|article)\s+(\w+)\b", sign)]
     return F.array_distinct(F.concat(*found))
 
 
-def references(text: Column, patterns: tuple[str, ...] = REFERENCES) -> Column:
+def references(text: Column, patterns: tuple[str, ...] = CHUNK_REFERENCES) -> Column:
     """Distinct references, pattern by pattern, then in text order."""
-    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns)))
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit("(?iU)" + p), F.lit(1)) for p in patterns)))
 
 
 def subdataset(path: Column, text: Column) -> Column:
-    """The dataset that a path names, else what the query's words hint at."""
-    p, t = F.lower(path), F.lower(text)
-    has = lambda *xs: F.greatest(*(t.contains(x) for x in xs)) if len(xs) > 1 else t.contains(xs[0])
-    out = F.when(p.contains("privacy"), "privacyqa").when(p.contains("contractnli"), "contractnli").when(p.contains("maud"), "maud").when(p.contains("cuad"), "cuad")
-    out = out.when(has("privacy", "personal data"), "privacyqa").when(has("nda", "confidential"), "contractnli").when(has("merger", "acquisition"), "maud")
-    return out.otherwise("cuad")
+    """The dataset that a path, without its underscores, names, else what the query's words hint at."""
+    p, t = F.replace(F.lower(path), F.lit("_"), F.lit("")), F.lower(text)
+    out = F.when(F.lit(False), "")
+    for name in PATH_DATASETS:
+        out = out.when(p.contains(name), name)
+    for name, hints in WORD_DATASETS:
+        for hint in hints:
+            out = out.when(t.contains(hint), name)
+    return out.otherwise(DEFAULT_DATASET)
+
+
+def same_file(a: Column, b: Column) -> Column:
+    """Do two paths name one file: equal, of equal stem, or one within the other?"""
+    return (a == b) | (stem(a) == stem(b)) | a.contains(b) | b.contains(a)
 
 
 def format_p(p: Column) -> Column:
     """A p-value for a table."""
-    return F.when(p <= 0.0001, "≤0.0001").when(p < 0.001, F.format_string("%.4f", p)).otherwise(F.format_string("%.3f", p))
+    return F.when(p < 0.0001, "≤0.0001").when(p < 0.001, F.format_string("%.4f", p)).otherwise(F.format_string("%.3f", p))

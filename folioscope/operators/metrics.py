@@ -68,21 +68,25 @@ def merged_spans(spans: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return rows.groupBy(*keys, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
 
 
-def char_scores(hits: DataFrame, gold: DataFrame, raw_precision: bool = False) -> DataFrame:
+DEPTHS = (1, 2, 4, 8, 10, 16, 32, 64)
+
+
+def char_scores(hits: DataFrame, gold: DataFrame, depths: tuple[int, ...] = DEPTHS, raw_precision: bool = False) -> DataFrame:
     """query_id, k, char_recall, char_precision of hits (query_id, k, doc_id, s, e) against gold (query_id, doc_id, s, e).
 
+    Every query of gold has a row for each of depths; one that found nothing scores 0.
     raw_precision divides by the hits' lengths as they are, else by their merged length.
     """
     g = merged_spans(gold, ("query_id", "doc_id"))
     h = merged_spans(hits.select("query_id", "k", "doc_id", "s", "e"), ("query_id", "k", "doc_id"))
-    gold_chars = g.groupBy("query_id").agg(F.sum(F.col("e") - F.col("s")).alias("gold_chars"))
+    asked = g.groupBy("query_id").agg(F.sum(F.col("e") - F.col("s")).alias("gold_chars")).withColumn("k", F.explode(F.array(*map(F.lit, depths))))
     size = (hits if raw_precision else h).groupBy("query_id", "k").agg(F.sum(F.col("e") - F.col("s")).alias("hit_chars"))
     both = h.join(g.withColumnsRenamed({"s": "gs", "e": "ge"}), ["query_id", "doc_id"])
     inside = F.greatest(F.lit(0), F.least("e", "ge") - F.greatest("s", "gs"))
     found = both.groupBy("query_id", "k").agg(F.sum(inside).alias("found"))
-    rows = size.join(gold_chars, "query_id").join(found, ["query_id", "k"], "left")
+    rows = asked.join(size, ["query_id", "k"], "left").join(found, ["query_id", "k"], "left")
     f = F.coalesce("found", F.lit(0))
-    return rows.select("query_id", "k", (f / F.greatest("gold_chars", F.lit(1))).alias("char_recall"), (f / F.greatest("hit_chars", F.lit(1))).alias("char_precision"))
+    return rows.select("query_id", "k", (f / F.greatest("gold_chars", F.lit(1))).alias("char_recall"), (f / F.greatest(F.coalesce("hit_chars", F.lit(0)), F.lit(1))).alias("char_precision"))
 
 
 def equal_weight(scores: DataFrame, group: str, value: str) -> DataFrame:
@@ -116,9 +120,3 @@ def ablation(means: DataFrame) -> DataFrame:
     cell = lambda c, r: F.max(F.when((F.col("chunking") == c) & (F.col("retrieval") == r), F.col("value")))
     r6 = lambda x, n: F.round(x, 6).alias(n)
     return means.agg(r6(cell(1, 0) - cell(0, 0), "chunking_effect"), r6(cell(0, 1) - cell(0, 0), "retrieval_effect"), r6(cell(1, 1) - cell(0, 0), "total_effect"), r6(cell(1, 1) - cell(1, 0) - cell(0, 1) + cell(0, 0), "interaction"))
-
-
-def table_row(metrics: dict[str, float], name: str, best: dict[str, float] | None = None) -> str:
-    """One line of a LaTeX table; values over those of best are bold."""
-    cells = [f"\\textbf{{{v:.3f}}}" if best and v > best.get(m, float("inf")) else f"{v:.3f}" for m, v in metrics.items()]
-    return " & ".join([name, *cells]) + r" \\"

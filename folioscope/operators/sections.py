@@ -3,52 +3,87 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from folioscope.functions import text as T
 
-_CHAPTER = re.compile(r"^CHAPTER[ \t]+([IVXLCDM]+)[ \t]*\n+([^\n]+)", re.MULTILINE)
-_SECTION = re.compile(r"^[ \t]*(\d+[A-Z]?)\.[ \t]+([^\n—]{3,81}?)[ \t]*—", re.MULTILINE)
-_ARTICLE = re.compile(r"(?<=\n)Article[ \t]+(\d+)[ \t]*\n([^\n]+)\n")
+# ---- fixed values: what headings look like
+
+CHAPTER = r"CHAPTER\s+([IVX]+)\s*[\n\r]+\s*([A-Za-z][A-Za-z\s,\-\.]+)"
+SECTION = r"(\d+[A-Z]?)\.\s+([A-Za-z][^\n—]{2,80}?)\s*\.?—\s*(.+?)(?=\n\s*\d+[A-Z]?\.\s+[A-Z]|\nCHAPTER\s+[IVX]|END)"
+ARTICLE = r"\nArticle\s+(\d+[a-z]?)\n([^\n]{5,120})\n(.+?)(?=\nArticle\s+\d+|\nCHAPTER\s+[IVX]|\Z)"
+TITLES = (r"(?m)^THE\s+([A-Z][A-Z\s,]+(?:ACT|CODE|RULES))", r"(?m)^([A-Z][A-Z\s,]+(?:ACT|CODE|RULES))")
+DEFAULT_TITLE = "Legal Document"
+
+# ----
+
+_CHAPTER = re.compile(CHAPTER)
+_SECTION = re.compile(SECTION.replace("END", r"\Z"), re.DOTALL)
+_FIRST_LINE = re.compile(SECTION.replace("END", "$"), re.DOTALL | re.MULTILINE)
+_ARTICLE = re.compile(ARTICLE, re.DOTALL)
 _FOUND = StructType([StructField("kind", StringType()), StructField("number", StringType()), StructField("title", StringType()), StructField("content", StringType()), StructField("pos", IntegerType())])
 
 
-def grammar(text: str, first_line_only: bool = False) -> list[tuple[str, str, str, str, int]]:
+def grammar(text: str, compat: bool = False) -> list[tuple[str, str, str, str, int]]:
     """(kind, number, title, content, position) of a statute's chapters and sections, or of a regulation's articles if it has no sections.
 
-    A section's content runs to the next heading; first_line_only ends it with its line.
+    A section's content runs to the next heading; compat ends it with its line.
     """
+    heads = list((_FIRST_LINE if compat else _SECTION).finditer(text)) or list(_ARTICLE.finditer(text))
     out = [("chapter", m[1], m[2].strip(), "", m.start()) for m in _CHAPTER.finditer(text)]
-    heads = list(_SECTION.finditer(text)) or list(_ARTICLE.finditer(text))
-    stops = sorted([h.start() for h in heads] + [x[4] for x in out] + [len(text)])
-    for h in heads:
-        end = next(s for s in stops if s > h.start())
-        if first_line_only:
-            line_end = text.find("\n", h.end() + 1)
-            end = min(end, line_end if line_end >= 0 else end)
-        out.append(("section", h[1], h[2].strip(), text[h.end() : end], h.start()))
-    return out
+    return out + [("section", m[1], m[2].strip(), m[3], m.start()) for m in heads]
+
+
+@dataclass
+class Documents:
+    """Parsed documents as tables.
+
+    sections: doc_id, section_no, title, content, char_start, ord, chapter_no, chapter_title.
+    chapters: doc_id, chapter_no, title.  edges: doc_id, src_no, dst_no, ord.
+    titles: doc_id, title.
+    """
+
+    sections: DataFrame
+    chapters: DataFrame
+    edges: DataFrame
+    titles: DataFrame
+
+    def section(self, number: str) -> DataFrame:
+        return self.sections.where(F.col("section_no") == number)
+
+    def section_content(self, number: str, include_title: bool = True) -> DataFrame:
+        return section_text(self.section(number), include_title)
+
+    def cross_references(self, number: str) -> DataFrame:
+        """The sections that a section refers to."""
+        targets = self.edges.where(F.col("src_no") == number).select("doc_id", F.col("dst_no").alias("section_no"), F.col("ord").alias("place"))
+        return self.sections.join(targets, ["doc_id", "section_no"]).orderBy("doc_id", "place").drop("place")
 
 
-def parsed(docs: DataFrame, first_line_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(sections, chapters) of documents by the grammar above; match offsets need Python, in Arrow batches."""
+def parsed(docs: DataFrame, compat: bool = False) -> Documents:
+    """Documents (doc_id, text) by the grammar above; match offsets need Python, in Arrow batches."""
 
     @F.udf(ArrayType(_FOUND), useArrow=True)
     def found(text):
-        return grammar(text or "", first_line_only)
+        return grammar(text or "", compat)
 
     rows = docs.select("doc_id", F.inline(found("text")))
-    chapters = rows.where("kind = 'chapter'").groupBy("doc_id", F.col("number").alias("chapter_no")).agg(F.max_by("title", "pos").alias("title"), F.max("pos").alias("pos"))
-    sections = rows.where("kind = 'section'").select("doc_id", F.col("number").alias("section_no"), "title", T.normalised(F.col("content")).alias("content"), F.col("pos").alias("char_start"))
-    return last_wins(sections), chapters
+    marks = rows.where("kind = 'chapter'").select("doc_id", F.col("number").alias("chapter_no"), "title", "pos")
+    chapters = marks.groupBy("doc_id", "chapter_no").agg(F.max_by("title", "pos").alias("title"))
+    # a chapter that comes twice has the last one's title in both places
+    starts = marks.select("doc_id", "chapter_no", "pos").join(chapters.withColumnRenamed("title", "chapter_title"), ["doc_id", "chapter_no"])
+    found_ = rows.where("kind = 'section'").select("doc_id", F.col("number").alias("section_no"), "title", T.normalised(F.col("content")).alias("content"), F.col("pos").alias("char_start"))
+    sections = with_parent(last_wins(found_), starts)
+    return Documents(sections, chapters, edges(sections, T.PARSED_REFERENCES), docs.select("doc_id", document_title(F.col("text")).alias("title")))
 
 
 def last_wins(sections: DataFrame) -> DataFrame:
-    """Of sections with one number the last counts, at the place of the first."""
+    """Of sections with one number the last counts, at the place of the first (ord)."""
     value = F.max_by(F.struct("title", "content", "char_start"), "char_start").alias("v")
     return sections.groupBy("doc_id", "section_no").agg(value, F.min("char_start").alias("ord")).select("doc_id", "section_no", "v.*", "ord")
 
@@ -59,7 +94,7 @@ def assembled(pages: DataFrame, key: str, number: str, text: str) -> DataFrame:
     return pages.groupBy(key).agg(F.array_join(parts, "\n").alias("text"))
 
 
-def lines_as_sections(docs: DataFrame, per_chapter: int = 5) -> DataFrame:
+def lines_as_sections(docs: DataFrame) -> DataFrame:
     """Every line with text is a section: doc_id, section_no, title (its first five words), content, char_start."""
     lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     w = W.partitionBy("doc_id").orderBy("i")
@@ -90,17 +125,17 @@ def with_parent(sections: DataFrame, chapters: DataFrame, strict: bool = True) -
     return rows.select("doc_id", *cols, F.col("_last.chapter_no").alias("chapter_no"), F.col("_last.chapter_title").alias("chapter_title"))
 
 
-def edges(sections: DataFrame, patterns: tuple[str, ...] = T.REFERENCES, order: str = "pattern") -> DataFrame:
+def edges(sections: DataFrame, patterns: tuple[str, ...] = T.CHUNK_REFERENCES) -> DataFrame:
     """doc_id, src_no, dst_no, ord: references that resolve to a section of the document, itself left out."""
     refs = sections.select("doc_id", F.col("section_no").cast("string").alias("src_no"), F.posexplode(T.references(F.col("content"), patterns)).alias("ord", "dst_no"))
     known = sections.select("doc_id", F.col("section_no").cast("string").alias("dst_no"))
     return refs.where("dst_no <> src_no").join(known, ["doc_id", "dst_no"], "left_semi").select("doc_id", "src_no", "dst_no", "ord")
 
 
-def document_title(text, default: str = "Legal Document"):
-    """The first line that ends with ACT, CODE or RULES."""
-    found = F.regexp_extract(text, r"(?m)^([A-Z][A-Z ,]*(?:ACT|CODE|RULES)[^\n]*)$", 1)
-    return F.coalesce(F.nullif(F.btrim(found), F.lit("")), F.lit(default))
+def document_title(text: Column, default: str = DEFAULT_TITLE) -> Column:
+    """The name of the act, code or rules that a text opens a line with."""
+    found = [F.nullif(T.strip(F.regexp_extract(text, "(?U)" + p, 1)), F.lit("")) for p in TITLES]
+    return F.coalesce(*found, F.lit(default))
 
 
 def section_text(sections: DataFrame, include_title: bool = True) -> DataFrame:

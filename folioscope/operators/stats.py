@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,35 +61,64 @@ def cohens_d(pairs: DataFrame, by: tuple[str, ...] = ("comparison",)) -> DataFra
     return rows.select(*by, "mean_diff", d.alias("d"), "base_mean")
 
 
-def bootstrap(pairs: DataFrame, by: str = "comparison", order: str = "query_id", rounds: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """by, low, high: percentile bounds of the mean difference over seeded resamples, in the order of order.
+def bootstrap(pairs: DataFrame, by: str = "comparison", rounds: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """by, low, high: percentile bounds of the mean difference over seeded resamples.
 
-    What is resampled is the table of distinct differences and their counts, which
-    is the same draw by a multinomial, so a group of any size stays small.
+    What is resampled is the table of distinct differences and their counts: a
+    multinomial draw over it has the distribution of drawing rows with replacement,
+    though not the draws of row_bootstrap.  Differences count to six places, so a
+    group of any size has at most two million of them where scores are from 0 to 1.
     """
-    import numpy as np
-
-    counts = pairs.groupBy(by, F.round(F.col("a") - F.col("b"), 12).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    counts = pairs.groupBy(by, F.round(F.col("a") - F.col("b"), 6).alias("d")).agg(F.count(F.lit(1)).alias("n"))
 
     @F.udf(ArrayType(DoubleType()), useArrow=True)
     def bounds(values):
         rows = sorted((float(v["d"]), int(v["n"])) for v in values)
         d, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        draws = np.random.RandomState(seed).multinomial(n.sum(), n / n.sum(), size=rounds) @ d / n.sum()
-        tail = (1 - confidence) / 2 * 100
-        return [float(x) for x in np.percentile(draws, [tail, 100 - tail])]
+        rng = np.random.RandomState(seed)
+        return _bounds([rng.multinomial(n.sum(), n / n.sum()) @ d / n.sum() for _ in range(rounds)], confidence)
 
     rows = counts.groupBy(by).agg(bounds(F.collect_list(F.struct("d", "n"))).alias("ci"))
     return rows.select(by, F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"))
 
 
+def _bounds(means: list[float], confidence: float) -> list[float]:
+    tail = (1 - confidence) / 2 * 100
+    return [float(x) for x in np.percentile(means, [tail, 100 - tail])]
+
+
+def resample(scores: np.ndarray, rounds: int = 1000, confidence: float = 0.95, seed: int = 42) -> tuple[float, float]:
+    """Bounds of the mean of scores, rows drawn with replacement by numpy's legacy generator."""
+    rng = np.random.RandomState(seed)
+    low, high = _bounds([rng.choice(scores, size=len(scores), replace=True).mean() for _ in range(rounds)], confidence)
+    return low, high
+
+
+def row_bootstrap(pairs: DataFrame, by: str = "comparison", order: str = "query_id", rounds: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """As bootstrap, with the very draws of a generator over the rows in the order of order.
+
+    That needs a comparison's differences, one number a query, in one task: it is for
+    judged query sets, which people write.
+    """
+
+    def run(rows):
+        d = rows.sort_values(order)
+        low, high = resample((d["a"] - d["b"]).to_numpy(), rounds, confidence, seed)
+        return d[[by]].head(1).assign(low=low, high=high)
+
+    kind = dict(pairs.dtypes)[by]
+    return pairs.select(by, order, "a", "b").groupBy(by).applyInPandas(run, f"{by} {kind}, low double, high double")
+
+
 def effect_label(d):
     return F.when(F.abs(d) >= 1.0, "very large").when(F.abs(d) >= 0.8, "large").when(F.abs(d) >= 0.5, "medium").otherwise("small")
 
 
-def significance(pairs: DataFrame, by: tuple[str, ...] = ("comparison",)) -> DataFrame:
-    """One row for each comparison: z, p, adjusted p, d, mean difference, percent over the base, labels."""
-    rows = with_p(wilcoxon(pairs, by)).join(cohens_d(pairs, by), list(by))
+def significance(pairs: DataFrame, by: tuple[str, ...] = ("comparison",), intervals=bootstrap, alpha: float = 0.05) -> DataFrame:
+    """One row for each comparison: z, p, adjusted p, d, interval, mean difference, percent over the base, labels and a LaTeX line."""
+    rows = with_p(wilcoxon(pairs, by)).join(cohens_d(pairs, by), list(by)).join(intervals(pairs, by[0]), by[0])
     rows = benjamini_hochberg(rows)
     pct = F.col("mean_diff") / F.greatest("base_mean", F.lit(1e-9)) * 100
-    return rows.select(*by, "n_plus", "n_minus", "z", "p", "p_adjusted", "d", "mean_diff", pct.alias("pct"), effect_label(F.col("d")).alias("effect"), format_p(F.col("p_adjusted")).alias("p_text"))
+    interval = F.format_string("[%.3f, %.3f]", "low", "high")
+    latex = F.concat(F.concat_ws(" & ", *(F.col(c).cast("string") for c in by), format_p(F.col("p_adjusted")), F.format_string("%.2f", "d"), interval), F.lit(r" \\"))
+    return rows.select(*by, "n_plus", "n_minus", "z", "p", "p_adjusted", (F.col("p_adjusted") < alpha).alias("significant"), "d", "low", "high", "mean_diff", pct.alias("pct"), effect_label(F.col("d")).alias("effect"), format_p(F.col("p_adjusted")).alias("p_text"), latex.alias("latex"))

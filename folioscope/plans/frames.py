@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
@@ -25,6 +26,7 @@ def fixed_chunks(spark, sf_dir) -> DataFrame:
 
 
 def gold(spark, sf_dir) -> DataFrame:
+    """item_id, doc_id, g_start, g_end of the benchmark's passages in the documents."""
     return judge.passages(table(spark, sf_dir, "benchmark"), docs(spark, sf_dir))
 
 
@@ -36,8 +38,7 @@ def asked(spark, sf_dir) -> DataFrame:
 def lexical_run(spark, sf_dir, k: int = 10) -> DataFrame:
     """query_id, rank, chunk_id, score, doc_id, char_start, char_end."""
     chunks = fixed_chunks(spark, sf_dir)
-    run = retrieve.bm25(chunks, asked(spark, sf_dir), k)
-    return run.join(chunks.select("chunk_id", "doc_id", "char_start", "char_end"), "chunk_id")
+    return retrieve.looked_up(retrieve.bm25(chunks, asked(spark, sf_dir), k), chunks.select("chunk_id", "doc_id", "char_start", "char_end"))
 
 
 def gold_spans(spark, sf_dir) -> DataFrame:
@@ -48,10 +49,14 @@ def vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
 
 
-def dense_run(spark, sf_dir, k: int = 10, n_queries: int = 50) -> DataFrame:
-    """The first n_queries vectors against all others, with whether the labels agree."""
+#: Every so many-th vector is a query.
+EVERY = 20
+
+
+def dense_run(spark, sf_dir, k: int = 10) -> DataFrame:
+    """Every twentieth vector against all others, with whether the labels agree."""
     v = vectors(spark, sf_dir)
-    q = v.where(F.col("chunk_id") < n_queries)
+    q = v.where(F.col("chunk_id") % EVERY == 0)
     run = retrieve.dense(v.select("chunk_id", "vector"), q.select(F.col("chunk_id").alias("query_id"), "vector"), k, exclude_self=True)
     run = run.join(v.select("chunk_id", F.col("label").alias("hit_label")), "chunk_id").join(q.select(F.col("chunk_id").alias("query_id"), "label"), "query_id")
     return run.withColumn("rel", (F.col("hit_label") == F.col("label")).cast("int"))
@@ -60,9 +65,9 @@ def dense_run(spark, sf_dir, k: int = 10, n_queries: int = 50) -> DataFrame:
 def lines(spark, sf_dir) -> DataFrame:
     """Sections made of lines, each with a reference to the line 7 * i mod n + 1."""
     s = sections.lines_as_sections(docs(spark, sf_dir))
-    n = s.groupBy("doc_id").agg(F.max("section_no").alias("n"))
-    ref = F.concat(F.lit(" under section "), ((F.col("section_no") * 7) % F.col("n") + 1).cast("string"))
-    return s.join(n, "doc_id").withColumn("content", F.concat("content", ref)).drop("n")
+    n = F.max("section_no").over(W.partitionBy("doc_id"))
+    ref = F.concat(F.lit(" under section "), ((F.col("section_no") * 7) % n + 1).cast("string"))
+    return s.withColumn("content", F.concat("content", ref))
 
 
 def parents(spark, sf_dir) -> DataFrame:
@@ -70,13 +75,42 @@ def parents(spark, sf_dir) -> DataFrame:
     return sections.with_parent(s, sections.chapters_of_lines(s))
 
 
+def statutes(spark, sf_dir) -> DataFrame:
+    """doc_id, text: a statute of each document's lines, whose words are cut down to plain letters.
+
+    Line i is section i, every fifth opens a chapter, and each refers to line 7 * i mod n + 1.
+    """
+    return _drawn(spark, sf_dir, F.concat(F.when((F.col("section_no") - 1) % 5 == 0, F.concat(F.lit("CHAPTER "), F.element_at(F.array(*map(F.lit, NUMERALS)), (F.floor((F.col("section_no") - 1) / 5) % len(NUMERALS) + 1).cast("int")), F.lit("\nOf Matters\n"))).otherwise(""), F.col("section_no").cast("string"), F.lit(". Heading of a line—"), "plain"))
+
+
+def regulations(spark, sf_dir) -> DataFrame:
+    """doc_id, text: the same lines as articles."""
+    return _drawn(spark, sf_dir, F.concat(F.lit("Article "), F.col("section_no").cast("string"), F.lit("\nHeading of a line\n"), "plain"))
+
+
+def agreements(spark, sf_dir) -> DataFrame:
+    """doc_id, text: the same lines under a contract's headings; documents with an id divisible by 5 have none."""
+    return _drawn(spark, sf_dir, F.concat(F.when(F.col("doc_id") % 5 != 0, F.concat(F.col("section_no").cast("string"), F.lit(".1 Heading of a line\n"))).otherwise(""), "plain"), "Between the parties\n")
+
+
+NUMERALS = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X")
+
+
+def _drawn(spark, sf_dir, line, before: str = "Preamble\n") -> DataFrame:
+    s = lines(spark, sf_dir)
+    plain = F.regexp_replace(F.concat(F.lit("x "), F.regexp_replace("content", "[^a-z0-9 ]", "")), " +", " ")
+    rows = s.select("doc_id", "section_no", plain.alias("plain"))
+    body = F.transform(F.sort_array(F.collect_list(F.struct("section_no", line.alias("t")))), lambda x: x["t"])
+    return rows.groupBy("doc_id").agg(F.concat(F.lit(before), F.array_join(body, "\n")).alias("text"))
+
+
 def edges(spark, sf_dir) -> DataFrame:
     return sections.edges(lines(spark, sf_dir))
 
 
 def structural(spark, sf_dir) -> DataFrame:
     s = parents(spark, sf_dir).withColumn("section_no", F.col("section_no").cast("string"))
-    return chunk.structural(s, chunk.top_references(sections.edges(s), s), "Corpus")
+    return chunk.structural(s, chunk.top_references(sections.edges(s), s), "Corpus").drop("cross_references")
 
 
 DOCS = "d as (select doc_id, text, lang from documents where text is not null)"
@@ -96,15 +130,15 @@ ct as (select chunk_id, {terms} as ts from c), dl as (select chunk_id, len(ts) a
 po as (select term, chunk_id, count(*) as tf from (select chunk_id, unnest(ts) as term from ct) group by all),
 df as (select term, count(*) as df from po group by term), st as (select count(*) as n, avg(dl) as avgdl from dl),
 qt as (select query_id, term, count(*) as qtf from (select query_id, unnest({terms}) as term from q) group by all),
-sc as (select query_id, po.chunk_id, round(sum(qtf * {idf} * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)){factor}), 6) as score
+sc as (select query_id, po.chunk_id, round(sum(qtf * {idf} * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)){factor}), 12) as s
   from po join qt using (term) join df using (term) join dl on dl.chunk_id = po.chunk_id, st group by query_id, po.chunk_id),
-run as (select * from (select query_id, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) as rank, chunk_id, score from sc) where rank <= {k})"""
+run as (select * from (select query_id, cast(row_number() over (partition by query_id order by s desc, chunk_id) as int) as rank, chunk_id, round(s, 6) as score from sc) where rank <= {k})"""
 
 
-def dense_sql(k: int = 10, n: int = 50) -> str:
+def dense_sql(k: int = 10) -> str:
     return f"""e as (select vec_id, cast(embedding as double[]) as v, label from embeddings),
-ds as (select a.vec_id as query_id, b.vec_id as chunk_id, round(list_inner_product(a.v, b.v), 6) as score, cast(a.label = b.label as int) as rel, a.label from e a join e b on a.vec_id < {n} and a.vec_id <> b.vec_id),
-drun as (select * from (select query_id, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) as rank, chunk_id, score, rel, label from ds) where rank <= {k})"""
+ds as (select a.vec_id as query_id, b.vec_id as chunk_id, round(list_inner_product(a.v, b.v), 12) as s, cast(a.label = b.label as int) as rel, a.label from e a join e b on a.vec_id % {EVERY} = 0 and a.vec_id <> b.vec_id),
+drun as (select * from (select query_id, cast(row_number() over (partition by query_id order by s desc, chunk_id) as int) as rank, chunk_id, round(s, 6) as score, rel, label from ds) where rank <= {k})"""
 
 
 _WS = r"[ \t\n\r\f\v]"
@@ -115,7 +149,11 @@ s as (select doc_id, cast(i as int) as section_no, array_to_string(list_filter(r
   line || ' under section ' || cast((i * 7) % n + 1 as varchar) as content, cast(char_start as int) as char_start from l1),
 ch as (select doc_id, cast((section_no - 1) // 5 + 1 as int) as chapter_no, title as chapter_title, char_start as pos from s where (section_no - 1) % 5 = 0),
 p as (select s.*, ch.chapter_no, ch.chapter_title from s asof left join ch on s.doc_id = ch.doc_id and s.char_start > ch.pos)"""
-EDGES = """x0 as (select doc_id, section_no, regexp_extract_all(lower(content), '\\b(?:under|per|see)\\s+section\\s+(\\d+[a-z]?)\\b', 1) || regexp_extract_all(lower(content), '\\bsection\\s+(\\d+[a-z]?)\\b', 1) as r from s),
+EDGES = """x0 as (select doc_id, section_no, regexp_extract_all(content, '(?i)under\\s+section\\s+(\\d+[A-Z]?)', 1) || regexp_extract_all(content, '(?i)section\\s+(\\d+[A-Z]?)', 1) || regexp_extract_all(content, '(?i)rule\\s+(\\d+)', 1) as r from s),
 x1 as (select doc_id, section_no, ref, min(k) as k from (select doc_id, section_no, unnest(r) as ref, unnest(range(len(r))) as k from x0) group by all),
 ed as (select x1.doc_id, cast(x1.section_no as varchar) as src_no, ref as dst_no, cast(row_number() over (partition by x1.doc_id, x1.section_no order by k) - 1 as int) as ord0 from x1),
 ed2 as (select ed.doc_id, src_no, dst_no, ord0 as ord from ed join s on s.doc_id = ed.doc_id and cast(s.section_no as varchar) = dst_no where src_no <> dst_no)"""
+
+_PLAIN = "regexp_replace('x ' || regexp_replace(content, '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')"
+#: The lines of statutes(), regulations() and agreements().
+DRAWN = f"dr as (select doc_id, section_no, {_PLAIN} as plain, (section_no - 1) // 5 as c from s)"

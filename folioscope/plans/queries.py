@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import chunk, judge, metrics, quality, retrieve, sampling, sections, stats
+from folioscope.operators import chunk, encode, judge, metrics, quality, retrieve, sampling, sections, stats
+from folioscope.sources import scratch
 
 from . import frames as f
 from .registry import query
@@ -89,14 +91,18 @@ def breadcrumb_stats(spark, sf_dir) -> DataFrame:
     return chunk.breadcrumb_stats(f.structural(spark, sf_dir))
 
 
-@query(f"""with {f.LINES}, {f.EDGES},
-three as (select * from (select *, row_number() over (partition by doc_id, src_no order by ord) as r from ed2) where r <= 3),
-rf as (select three.doc_id, src_no, string_agg('§' || dst_no || ': ' || substring(t.content, 1, 200), chr(10) order by ord, dst_no) as refs from three join s t on t.doc_id = three.doc_id and cast(t.section_no as varchar) = dst_no group by three.doc_id, src_no)
-select s.doc_id, cast(s.section_no as varchar) as section_no, '[Act > §' || s.section_no || ']' || chr(10) || content || case when refs is null then '' else chr(10) || refs end as text
-from s left join rf on rf.doc_id = s.doc_id and rf.src_no = cast(s.section_no as varchar)""")
+@query(f"""with {f.LINES}, st as (select doc_id || '-' || section_no as section_id, section_no, doc_id, content as text, max(section_no) over (partition by doc_id) as n from s),
+re as (select section_id, unnest(range(3)) as p, unnest([doc_id || '-' || ((7 * section_no) % n + 1), section_id, doc_id || '-0']) as ref from st where section_no % 2 = 0
+  union all select section_id, unnest(range(3)), unnest([doc_id || '-' || ((5 * section_no) % n + 1), doc_id || '-' || ((3 * section_no) % n + 1), doc_id || '-' || section_no]) from st where section_no % 2 = 1),
+rf as (select re.section_id, string_agg('→ มาตรา ' || t.section_no || ': ' || substring(t.text, 1, 200) || '…', chr(10) order by p) as refs from re join st t on t.section_id = ref where ref <> re.section_id group by re.section_id)
+select st.section_id, '[Act > มาตรา ' || section_no || ']' || chr(10) || text || case when refs is null then '' else chr(10) || '[ข้อความอ้างอิง:]' || chr(10) || refs end as text from st left join rf using (section_id)""")
 def statute_augment(spark, sf_dir) -> DataFrame:
-    s = f.lines(spark, sf_dir).withColumn("section_no", F.col("section_no").cast("string"))
-    return chunk.statute_augmented(s, sections.edges(s))
+    """Lines as sections, with references that resolve, that don't, and to themselves among the first three."""
+    s = f.lines(spark, sf_dir).withColumn("n", F.max("section_no").over(W.partitionBy("doc_id")))
+    to = lambda k: F.concat_ws("-", "doc_id", (k * F.col("section_no")) % F.col("n") + 1)
+    own = F.concat_ws("-", "doc_id", "section_no")
+    refs = F.when(F.col("section_no") % 2 == 0, F.array(to(7), own, F.concat_ws("-", "doc_id", F.lit("0")), to(11))).otherwise(F.array(to(5), to(3), own, to(11)))
+    return chunk.statute_augmented(s.select(own.alias("section_id"), F.lit("Act").alias("law_name"), F.col("section_no").cast("string").alias("section_num"), F.col("content").alias("text"), refs.alias("cross_refs")))
 
 
 @query("select conv_id, string_agg(text, chr(10) order by turn, text) as text from conversations where text is not null group by conv_id")
@@ -104,9 +110,74 @@ def page_assembly(spark, sf_dir) -> DataFrame:
     return sections.assembled(f.table(spark, sf_dir, "conversations").where("text is not null"), "conv_id", "turn", "text")
 
 
-@query("select page_id, coalesce(nullif(trim(regexp_extract(html, '(?m)^([A-Z][A-Z ,]*(?:ACT|CODE|RULES)[^\\n]*)$', 1)), ''), 'Legal Document') as title, regexp_extract(url, '([^/]+?)(?:\\.[^./]*)?$', 1) as stem from pages")
+_TITLED = "select page_id, url, case page_id % 3 when 0 then html when 1 then 'x' || chr(10) || 'THE LAND' || chr(10) || ' RULES, OF ACT ' || page_id else 'PENAL CODE ' || page_id end as t from pages"
+
+
+@query(f"select page_id, coalesce(nullif(regexp_replace(regexp_extract(t, '(?m)^THE\\s+([A-Z][A-Z\\s,]+(?:ACT|CODE|RULES))', 1), '^\\s+|\\s+$', '', 'g'), ''), nullif(regexp_extract(t, '(?m)^([A-Z][A-Z\\s,]+(?:ACT|CODE|RULES))', 1), ''), 'Legal Document') as title, regexp_extract(url, '([^/]+?)(?:\\.[^./]*)?$', 1) as stem from ({_TITLED})")
 def titles_and_stems(spark, sf_dir) -> DataFrame:
-    return f.table(spark, sf_dir, "pages").select("page_id", sections.document_title(F.col("html")).alias("title"), T.stem(F.col("url")).alias("stem"))
+    """Pages, a third of them under the title of an act, a third under that of a code."""
+    p, n = f.table(spark, sf_dir, "pages"), F.col("page_id")
+    text = F.when(n % 3 == 0, F.col("html")).when(n % 3 == 1, F.concat(F.lit("x\nTHE LAND\n RULES, OF ACT "), n.cast("string"))).otherwise(F.concat(F.lit("PENAL CODE "), n.cast("string")))
+    return p.select("page_id", sections.document_title(text).alias("title"), T.stem(F.col("url")).alias("stem"))
+
+
+@query(f"with {f.LINES}, {f.DRAWN} select doc_id, cast(section_no as varchar) as section_no, 'Heading of a line' as title, substring(trim(plain), 1, 5000) as content, {list(f.NUMERALS)}[c % 10 + 1] as chapter_no, 'Of Matters' as chapter_title from dr")
+def statute_sections(spark, sf_dir) -> DataFrame:
+    """Sections and their chapters, parsed out of the statutes."""
+    return sections.parsed(f.statutes(spark, sf_dir)).sections.select("doc_id", "section_no", "title", "content", "chapter_no", "chapter_title")
+
+
+@query(f"with {f.LINES}, {f.DRAWN} select distinct doc_id, {list(f.NUMERALS)}[c % 10 + 1] as chapter_no, 'Of Matters' as title from dr where (section_no - 1) % 5 = 0")
+def statute_chapters(spark, sf_dir) -> DataFrame:
+    return sections.parsed(f.statutes(spark, sf_dir)).chapters
+
+
+@query(f"with {f.LINES}, {f.DRAWN} select doc_id, cast(section_no as varchar) as section_no, 'Heading of a line' as title, substring(trim(plain), 1, 5000) as content from dr")
+def regulation_articles(spark, sf_dir) -> DataFrame:
+    """Documents without a statute's sections, by articles."""
+    return sections.parsed(f.regulations(spark, sf_dir)).sections.select("doc_id", "section_no", "title", "content")
+
+
+@query(f"with {f.LINES}, {f.DRAWN} select doc_id, '5' as section_no, 'Section 5. Heading of a line' || chr(10) || substring(trim(plain), 1, 5000) as text from dr where section_no = 5")
+def section_lookup(spark, sf_dir) -> DataFrame:
+    """The text of section 5 of each statute."""
+    return sections.parsed(f.statutes(spark, sf_dir)).section_content("5")
+
+
+@query(f"with {f.LINES} select doc_id, cast(section_no % 7 as varchar) as section_no, arg_max(title, char_start) as title, min(char_start) as ord from s group by doc_id, section_no % 7")
+def repeated_sections(spark, sf_dir) -> DataFrame:
+    """Lines numbered modulo 7: of one number the last counts, at the first one's place."""
+    s = f.lines(spark, sf_dir).withColumn("section_no", (F.col("section_no") % 7).cast("string"))
+    return sections.last_wins(s).select("doc_id", "section_no", "title", "ord")
+
+
+_CONTRACT = f"""{f.LINES}, {f.DRAWN}, hl as (select *, section_no || '.1 Heading of a line' as head from dr where doc_id % 5 <> 0),
+bo as (select *, head || chr(10) || trim(plain) as body, min(section_no) over (partition by doc_id) as f, max(section_no) over (partition by doc_id) as l from hl),
+re as (select *, list_distinct(regexp_extract_all(body, '(?i)section\\s+([\\d.]+)', 1)) as rs from bo),
+fu as (select *, '[Contract > ' || head || ']' || chr(10) || body || case when len(rs) > 0 then chr(10) || '[References: Sections ' || array_to_string(rs, ', ') || ']' else '' end as text from re)"""
+
+
+_HALVES = "[Contract > ' || head || ']' || chr(10) || regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"with {_CONTRACT} select doc_id, head as title, text from fu where length(text) // 4 <= 768 union all select doc_id, '', 'Between the parties' from hl group by doc_id union all select doc_id, head, '{_HALVES.format('substring(chr(10) || body, 1, (length(body) + 1) // 2)')} from fu where length(text) // 4 > 768 union all select doc_id, head, '{_HALVES.format('substring(chr(10) || body, (length(body) + 1) // 2 + 1)')} || case when len(rs) > 0 then chr(10) || '[References: Sections ' || array_to_string(rs, ', ') || ']' else '' end from fu where length(text) // 4 > 768")
+def contract_chunks(spark, sf_dir) -> DataFrame:
+    """The contracts' preambles and sections, long ones in halves."""
+    return chunk.contracts(f.agreements(spark, sf_dir).where("doc_id % 5 <> 0")).select("doc_id", "title", "text")
+
+
+@query()
+def contract_pool(spark, sf_dir) -> DataFrame:
+    """Both chunk pools of the contracts, as files of a folder for each language."""
+    lang = f.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    files = f.agreements(spark, sf_dir).join(lang, "doc_id").select(F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+    return chunk.pools(files)
+
+
+@query()
+def structural_sized_chunks(spark, sf_dir) -> DataFrame:
+    """Structural chunks of 64 tokens, long sections in parts."""
+    return chunk.structural_sized(f.structural(spark, sf_dir), 64).select("doc_id", "section_no", "part", "text")
 
 
 @query(f"with {f.LINES} select doc_id, section_no, substring(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 5000) as content from s")
@@ -122,12 +193,13 @@ def gold_spans(spark, sf_dir) -> DataFrame:
     return f.gold(spark, sf_dir)
 
 
-_SUB = "case when p like '%privacy%' then 'privacyqa' when p like '%contractnli%' then 'contractnli' when p like '%maud%' then 'maud' when p like '%cuad%' then 'cuad' when t like '%privacy%' or t like '%personal data%' then 'privacyqa' when t like '%nda%' or t like '%confidential%' then 'contractnli' when t like '%merger%' or t like '%acquisition%' then 'maud' else 'cuad' end"
+_SUB = "case when p like '%contractnli%' then 'contractnli' when p like '%cuad%' then 'cuad' when p like '%maud%' then 'maud' when p like '%privacyqa%' then 'privacyqa' when t like '%non-disclosure%' or t like '%nda%' then 'contractnli' when t like '%privacy%' or t like '%data practice%' then 'privacyqa' when t like '%merger%' or t like '%acquisition%' or t like '%m&a%' then 'maud' else 'cuad' end"
 
 
-@query(f"select doc_id, {_SUB} as subdataset from (select doc_id, lower(source) as p, lower(text) as t from documents where text is not null)")
+@query(f"select doc_id, {_SUB} as subdataset from (select doc_id, replace(case doc_id % 7 when 1 then 'Privacy_QA/x' when 2 then 'contract_nli/y' else lower(source) end, '_', '') as p0, lower(p0) as p, lower(text) as t from documents where text is not null)")
 def subdataset_infer(spark, sf_dir) -> DataFrame:
-    return f.docs(spark, sf_dir).select("doc_id", T.subdataset(F.col("source"), F.col("text")).alias("subdataset"))
+    path = F.when(F.col("doc_id") % 7 == 1, "Privacy_QA/x").when(F.col("doc_id") % 7 == 2, "contract_nli/y").otherwise(F.col("source"))
+    return f.docs(spark, sf_dir).select("doc_id", T.subdataset(path, F.col("text")).alias("subdataset"))
 
 
 @query("select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by md5(source), doc_id) as r from documents) where r <= 80 // (select count(distinct lang) from documents)")
@@ -152,6 +224,21 @@ def embedding_cache_anti(spark, sf_dir) -> DataFrame:
     return d.join(d.where("doc_id % 2 = 0").select("content_key"), "content_key", "left_anti").groupBy("content_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
 
 
+@query("select count(*) as n, count(distinct text) as n_contents, count(distinct text) as n_cached, 0::bigint as n_fresh from documents where text is not null")
+def embedding_cache(spark, sf_dir) -> DataFrame:
+    """Documents encoded through a cache that holds the even ones' texts, then once more, when nothing is left to encode."""
+    encoder, path = encode.HashedWords(64), scratch.path(spark, "vectors")
+    d = f.docs(spark, sf_dir).select("doc_id", "text")
+    encode.cached(d.where("doc_id % 2 = 0"), "doc_id", encoder, path)
+    encode.cached(d, "doc_id", encoder, path)
+    cached = spark.read.parquet(path).count()
+    rows = encode.cached(d, "doc_id", encoder, path)
+    fresh = spark.read.parquet(path).count() - cached
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    contents = spark.read.parquet(path).agg(F.count_distinct("content").alias("n_contents"), F.count(F.lit(1)).alias("n_cached"))
+    return n.crossJoin(contents).withColumn("n_fresh", F.lit(fresh).cast("long"))
+
+
 # ---- retrieval
 
 
@@ -176,20 +263,18 @@ def dense_topk(spark, sf_dir) -> DataFrame:
     return f.dense_run(spark, sf_dir).select("query_id", "rank", "chunk_id", "score")
 
 
-# the label's other members, best by id, stand in for the lexical side, as vectors have no text
-_SPARSE = "srun as (select * from (select query_id, chunk_id, cast(row_number() over (partition by query_id order by (chunk_id * 7919 + query_id * 104729) % 10007, chunk_id) as int) as rank from ds where rel = 1) where rank <= 20)"
-_RRF = f"""{f.dense_sql(20)}, {_SPARSE},
-fu as (select query_id, chunk_id, min(d) as d, min(s) as s from (select query_id, chunk_id, rank as d, null as s from drun union all select query_id, chunk_id, null, rank from srun) group by all),
+# as vectors have no text, every second hit, in an order of their own, stands in for the lexical side
+_SPARSE = "d20 as (select * from drun where rank <= 20), srun as (select query_id, chunk_id, cast(row_number() over (partition by query_id order by (chunk_id * 7919 + query_id * 104729) % 10007, chunk_id) as int) as rank from drun where rank % 2 = 0)"
+_RRF = f"""{f.dense_sql(40)}, {_SPARSE},
+fu as (select query_id, chunk_id, min(d) as d, min(s) as s from (select query_id, chunk_id, rank as d, null as s from d20 union all select query_id, chunk_id, null, rank from srun) group by all),
 fr as (select *, round(coalesce(1.0::double / (60 + d), 0) + coalesce(1.0::double / (60 + s), 0), 9) as score from fu),
 frun as (select * from (select query_id, cast(row_number() over (partition by query_id order by score desc, d nulls last, s nulls last, chunk_id) as int) as rank, chunk_id, score from fr) where rank <= 10)"""
 
 
 def _fused(spark, sf_dir):
-    v = f.vectors(spark, sf_dir)
-    q = v.where("chunk_id < 50").select(F.col("chunk_id").alias("query_id"), "label")
-    pairs = q.join(v.select("chunk_id", "label"), "label").where("query_id <> chunk_id")
-    mixed = pairs.select("query_id", "chunk_id", (-((F.col("chunk_id") * 7919 + F.col("query_id") * 104729) % 10007)).cast("double").alias("score"))
-    return retrieve.fuse(f.dense_run(spark, sf_dir, 20), retrieve.top(mixed, 20), 10)
+    run = f.dense_run(spark, sf_dir, 40).select("query_id", "rank", "chunk_id")
+    mixed = run.where("rank % 2 = 0").select("query_id", "chunk_id", (-((F.col("chunk_id") * 7919 + F.col("query_id") * 104729) % 10007)).cast("double").alias("score"))
+    return retrieve.fuse(run.where("rank <= 20"), retrieve.top(mixed, 20), 10)
 
 
 @query(f"with {_RRF} select * from frun")
@@ -200,10 +285,8 @@ def rrf_fusion(spark, sf_dir) -> DataFrame:
 @query()
 def hybrid_topk(spark, sf_dir) -> DataFrame:
     """Lexical and hashed-vector search over fixed chunks, fused."""
-    from folioscope.operators.encode import hashed
-
     c, q = f.fixed_chunks(spark, sf_dir), f.asked(spark, sf_dir)
-    return retrieve.hybrid(hashed(c, "chunk_id"), hashed(q, "query_id"), c, q, 10)
+    return retrieve.hybrid(encode.hashed(c, "chunk_id"), encode.hashed(q, "query_id"), c, q, 10)
 
 
 @query(f"with {f.dense_sql(64)} select query_id, k, count(*) as n, cast(sum(rel) as bigint) as hits from drun, (select unnest([1, 2, 4, 8, 10, 16, 32, 64]) as k) where rank <= k group by all")
@@ -214,11 +297,11 @@ def retrieve_once_slice(spark, sf_dir) -> DataFrame:
 # ---- relevance
 
 
-@query(f"with {f.LINES}, {f.EDGES} select doc_id as query_id, dst_no as section_no, first_rank from (select doc_id, dst_no from ed2 group by all) left join (select doc_id, regexp_extract(content, 'under section (\\d+)$', 1) as dst_no, min(section_no) as first_rank from s where section_no <= 10 group by all) using (doc_id, dst_no)")
+@query(f"with {f.LINES}, {f.EDGES} select doc_id as query_id, dst_no as section_no, first_rank from (select doc_id, dst_no from ed2 group by all) left join (select doc_id, regexp_extract(content, 'under section (\\d+)$', 1) as dst_no, min(section_no) as first_rank from s group by all) using (doc_id, dst_no)")
 def section_mention_first_rank(spark, sf_dir) -> DataFrame:
-    """A document's first ten lines as a run, the sections that it refers to as expected."""
+    """A document's lines as a run, the sections that it refers to as expected."""
     s = f.lines(spark, sf_dir)
-    run = s.where("section_no <= 10").select(F.col("doc_id").alias("query_id"), F.col("section_no").alias("rank"), F.regexp_extract("content", r"(under section \d+)$", 1).alias("text"))
+    run = s.select(F.col("doc_id").alias("query_id"), F.col("section_no").alias("rank"), F.regexp_extract("content", r"(under section \d+)$", 1).alias("text"))
     expected = sections.edges(s).select(F.col("doc_id").alias("query_id"), F.col("dst_no").alias("section_no")).distinct()
     return judge.first_mentions(run, expected)
 
@@ -277,10 +360,12 @@ def gold_id_novelty(spark, sf_dir) -> DataFrame:
     return judge.novel_gold(*_bridge(spark, sf_dir))
 
 
-@query(f"with {_FIRST} select distinct query_id from ex where gold_id in (select gold_id from br where chunk_id % 3 = 0)")
+@query(f"with {f.dense_sql(1)}, {_BRIDGE.split(', ex as')[0]} select query_id from drun where label * 100 + query_id % 11 in (select gold_id from br)")
 def answerable_subset(spark, sf_dir) -> DataFrame:
-    _, bridge, expected = _bridge(spark, sf_dir)
-    return judge.answerable(expected, bridge.where("chunk_id % 3 = 0"))
+    """Queries that expect one of eleven gold ids of their label, of which chunks map to seven."""
+    _, bridge, _ = _bridge(spark, sf_dir)
+    expected = f.vectors(spark, sf_dir).where(F.col("chunk_id") % f.EVERY == 0).select(F.col("chunk_id").alias("query_id"), (F.col("label") * 100 + F.col("chunk_id") % 11).alias("gold_id"))
+    return judge.answerable(expected, bridge)
 
 
 @query(f"with {_FIRST} select query_id, bool_or(gold_id % 100 = 2 and gold_id % 200 < 100) as has_xref from ex group by query_id")
@@ -355,14 +440,15 @@ def merged_spans(spark, sf_dir) -> DataFrame:
 
 _CHARS = f"""{f.bm25_sql(10)}, h as (select query_id, cast(k as int) as k, c.doc_id, c.char_start as s, c.char_start + length(c.text) as e from run join c using (chunk_id), (select unnest([1, 2, 4, 8, 10]) as k) where rank <= k),
 gg as (select item_id as query_id, doc_id, g_start as s, g_end as e from g), {_ISLANDS.format(name='m', keys='query_id, k, doc_id', src='h')}, {_ISLANDS.format(name='gm', keys='query_id, doc_id', src='gg')},
-cs as (select query_id, k, coalesce(fnd, 0) / greatest(gold_chars, 1)::double as char_recall, coalesce(fnd, 0) / greatest(hit_chars, 1)::double as char_precision from (select query_id, k, sum(e - s) as hit_chars from m group by all) join (select query_id, sum(e - s) as gold_chars from gm group by all) using (query_id)
+cs as (select query_id, k, coalesce(fnd, 0) / greatest(gold_chars, 1)::double as char_recall, coalesce(fnd, 0) / greatest(coalesce(hit_chars, 0), 1)::double as char_precision
+  from (select query_id, cast(unnest([1, 2, 4, 8, 10]) as int) as k, gold_chars from (select query_id, sum(e - s) as gold_chars from gm group by all)) left join (select query_id, k, sum(e - s) as hit_chars from m group by all) using (query_id, k)
   left join (select m.query_id, m.k, sum(greatest(0, least(m.e, gm.e) - greatest(m.s, gm.s))) as fnd from m join gm on m.query_id = gm.query_id and m.doc_id = gm.doc_id group by all) using (query_id, k))"""
 
 
 def _chars(spark, sf_dir):
     h = retrieve.at_depths(f.lexical_run(spark, sf_dir), (1, 2, 4, 8, 10)).select("query_id", "k", "doc_id", F.col("char_start").alias("s"), F.col("char_end").alias("e"))
     g = f.gold_spans(spark, sf_dir).select("query_id", "doc_id", F.col("g_start").alias("s"), F.col("g_end").alias("e"))
-    return metrics.char_scores(h, g)
+    return metrics.char_scores(h, g, (1, 2, 4, 8, 10))
 
 
 @query(f"with {_CHARS} select query_id, k, round(char_recall, 6) as char_recall, round(char_precision, 6) as char_precision from cs")
@@ -410,12 +496,25 @@ def boundary_by_title(spark, sf_dir) -> DataFrame:
     return quality.titled(f.structural(spark, sf_dir))
 
 
-@query(f"with {_STRUCT}, ke as (select distinct ed2.doc_id, src_no, dst_no from ed2 join st on st.doc_id = ed2.doc_id and st.section_no = src_no join s t on t.doc_id = ed2.doc_id and cast(t.section_no as varchar) = dst_no where (t.title <> '' and contains(lower(st.text), lower(t.title))) or contains(st.text, '§' || dst_no || ':')) select (select count(*) from (select distinct doc_id, src_no, dst_no from ed2)) as n_edges, (select count(*) from ke) as kept")
+@query(f"with {_STRUCT}, ke as (select distinct ed2.doc_id, src_no, dst_no from ed2 join st on st.doc_id = ed2.doc_id and st.section_no = src_no join s t on t.doc_id = ed2.doc_id and cast(t.section_no as varchar) = dst_no where (t.title <> '' and contains(lower(st.text), lower(t.title))) or list_contains(regexp_extract_all(lower(st.text), '\\b(?:section|article)\\s+(\\w+)', 1) || regexp_extract_all(lower(st.text), '§\\s*(\\w+)', 1), lower(dst_no))) select (select count(*) from (select distinct doc_id, src_no, dst_no from ed2)) as n_edges, (select count(*) from ke) as kept")
 def xref_preservation(spark, sf_dir) -> DataFrame:
     s = f.lines(spark, sf_dir)
     return quality.reference_preservation(sections.edges(s), f.structural(spark, sf_dir), s)
 
 
+@query(f"with {f.CHUNKS}, hd as (select c.doc_id, chunk_id, regexp_replace(substring(c.text, 1, 80), '^\\s+|\\s+$', '', 'g') as h, d.text as w from c join d on d.doc_id = c.doc_id where not starts_with(c.text, '[')), pl as (select doc_id, chunk_id, instr(w, h) - 1 as p from hd where h <> ''), ln as (select doc_id, coalesce(sum(length(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as pos, line from (select doc_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from d))), al as (select distinct chunk_id from pl join ln on ln.doc_id = pl.doc_id and abs(pos - p) <= 80 where regexp_matches(line, '[^ \\t\\n\\r\\f\\v]')) select doc_id, count(*) as n, count(al.chunk_id) as aligned from pl left join al using (chunk_id) group by doc_id")
+def boundary_by_text(spark, sf_dir) -> DataFrame:
+    """As boundary_precision, of chunks that are looked for by their first characters."""
+    c = f.fixed_chunks(spark, sf_dir).where(~F.col("text").startswith("[")).select("doc_id", "chunk_id", "text")
+    return quality.boundary_precision_by_text(c, f.docs(spark, sf_dir), sections.lines_as_sections(f.docs(spark, sf_dir)))
+
+
+@query()
+def chunk_coherence(spark, sf_dir) -> DataFrame:
+    """Cosine of the halves of the first 200 chunks, by hashed words."""
+    return quality.coherence(f.fixed_chunks(spark, sf_dir), encode.HashedWords(64))
+
+
 @query(f"with {f.LINES}, ck as (select doc_id, case when i = 0 then 1 end as section_no from (select doc_id, unnest(range(0, cast(ceil(length(text) / 500.0) as bigint))) as i from d where length(text) > 0)), t as (select (select count(*) from ck) as first_chunks, (select count(*) from (select distinct doc_id, section_no from ck where section_no is not null)) as first_covered, (select count(*) from s) as second_chunks, (select count(*) from s) as second_covered, (select count(*) from s) as total) select *, round(first_chunks / (first_covered / total::double * 100), 6) as first_per_pct, round(second_chunks / (second_covered / total::double * 100), 6) as second_per_pct, round((1 - second_chunks / first_chunks::double) * 100, 6) as reduction_pct from t")
 def chunk_efficiency(spark, sf_dir) -> DataFrame:
     c = f.fixed_chunks(spark, sf_dir).select("doc_id", F.when(F.col("chunk_index") == 0, 1).alias("section_no"))
@@ -474,7 +573,7 @@ def significance_table(spark, sf_dir) -> DataFrame:
     return stats.significance(_pairs(spark, sf_dir))
 
 
-@query("select vec_id, case when p <= 0.0001 then '≤0.0001' when p < 0.001 then printf('%.4f', p) else printf('%.3f', p) end as p_text from (select vec_id, pow(10, -(vec_id % 6)) * (1 + vec_id % 8) / 9.7 as p from embeddings)")
+@query("select vec_id, case when p < 0.0001 then '≤0.0001' when p < 0.001 then printf('%.4f', p) else printf('%.3f', p) end as p_text from (select vec_id, pow(10, -(vec_id % 6)) * (1 + vec_id % 8) / 9.7 as p from embeddings)")
 def p_format(spark, sf_dir) -> DataFrame:
     p = F.pow(F.lit(10.0), -(F.col("vec_id") % 6)) * (1 + F.col("vec_id") % 8) / 9.7
     return f.table(spark, sf_dir, "embeddings").select("vec_id", T.format_p(p).alias("p_text"))
