@@ -75,8 +75,7 @@ def encoder(name: str):
     """A piece encoder for a file of public_tokenizers, kept by the Python worker from task to task."""
     from .pieces import PieceEncoder
 
-    lower = name.startswith("word")
-    return PieceEncoder(tokenizer(public_tokenizers.path(name)), leading=not lower, lower=lower)
+    return PieceEncoder(tokenizer(public_tokenizers.path(name)))
 
 
 def tokenizer_digest(path: str) -> str:

@@ -82,11 +82,6 @@ def best_fit(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
-def padded(filled: int, window: int = WINDOW) -> int:
-    """Length of a stored sequence: the window, or what fills it if that is a power of two."""
-    return filled if filled & (filled - 1) == 0 else window
-
-
 def _cut(name: str, end: int, window: int):
     """Pieces of documents; full windows have their sequence, rests none yet."""
 
@@ -151,6 +146,12 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: i
     return pieces.where("sequence_id is not null").unionByName(rests.repartition(groups).mapInArrow(_place(window, pack_rows), PIECES))
 
 
+def stored(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
+    """sequence_id, filled, stored: the length of each sequence and that as stored: padded to window, but for a power of two."""
+    filled = pieces.groupBy("sequence_id").agg(F.sum("length").alias("filled"))
+    return filled.withColumn("stored", F.when(F.col("filled").bitwiseAND(F.col("filled") - 1) == 0, F.col("filled")).otherwise(window))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, packed into sequences of at most 1024 tokens."""
     return pack_documents(common.table(spark, sf_dir, "documents"))

@@ -9,19 +9,26 @@ Safe cuts
     side.  The pre-tokenizer's matches never run over such a place and don't
     look past it, normalisation doesn't either, and no added token holds a
     space.  Everything else (runs of spaces, line ends, odd separators) stays
-    inside one piece, so it is the library that decides about it.
+    inside one piece, so it is the library that decides about it.  Texts are split
+    at every space first; pieces that are empty or end in white space are put
+    together with those that follow, up to one that doesn't.
 
 Plain pieces
     A piece of Latin letters with closing punctuation is two matches of either
     pre-tokenizer; these go straight to the library's merge model, without the
     library's normaliser and pre-tokenizer.  All other pieces take the full way.
 
+That holds for the two pre-tokenizers that settings() knows, by what a tokenizer's
+own file says of it.  With any other, whole texts go to the library.
+
 Id arrays are little-endian unsigned 32-bit bytes, which join by concatenation.
 """
 
 from __future__ import annotations
 
 import gc
+import itertools
+import json
 import os
 import re
 import struct
@@ -32,7 +39,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Letters with the same class and the same lower case in every Unicode version, then marks that are no apostrophe and no "<".
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&()*+,./:;?@\\\]^_`{|}~-]*)")
 #: Pieces kept by one Python worker; a full cache starts anew.
@@ -41,6 +47,10 @@ CACHE_PIECES = 700_000
 KEPT_CHARS = 64
 #: Text handled at once.
 SLICE_BYTES = 8 << 20
+#: The pattern that byte-level vocabularies cut words by, and the word vocabulary's normaliser and pattern.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SHORT = [chr(x) for x in [*range(33, 127), *range(161, 173), *range(174, 256)]]
 _OTHER = [x for x in range(256) if chr(x) not in set(_SHORT)]
 #: Byte to the printable character that stands for it in byte-level vocabularies, and back.
@@ -53,21 +63,46 @@ def byte_level(text: str) -> str:
     return text.encode().decode("latin-1").translate(BYTE_CHARS)
 
 
+def settings(tokenizer) -> tuple[bool, bool] | None:
+    """(leading, lower) of a tokenizer whose texts can be cut at single spaces, else None.
+
+    leading: it keeps the space before a word; else it drops all white space.
+    lower: it lower-cases.
+    """
+    d = json.loads(tokenizer.to_str())
+    model, pre, normal = d["model"], d["pre_tokenizer"] or {}, d["normalizer"]
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback")) or d["truncation"] or d["padding"]:
+        return None
+    if any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in d["added_tokens"]):
+        return None
+    if pre.get("type") == "Sequence":
+        split, *rest = pre["pretokenizers"]
+        if len(rest) != 1 or split["type"] != "Split" or rest[0] | {"trim_offsets": True} != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}:
+            return None
+        how = (split["pattern"].get("Regex"), split["behavior"], split["invert"])
+        if normal is None and how == (BYTE_LEVEL_PATTERN, "Isolated", False) and not model.get("end_of_word_suffix"):
+            return True, False
+        return (False, True) if normal == WORD_NORMALIZER and how == (WORD_PATTERN, "Removed", True) else None
+    if normal is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not model.get("end_of_word_suffix"):
+        return True, False
+    return None
+
+
 class PieceEncoder:
     """Encodes texts as tokenizer.encode(text, add_special_tokens=False) does.
 
-    tokenizer: a tokenizers.Tokenizer.  leading: its pre-tokenizer keeps the
-    space before a word (byte-level vocabularies) or drops all white space.
-    lower: it lower-cases.  Memory is bounded by limit pieces and a few times
-    SLICE_BYTES or the longest text.  Nulls count as empty texts.
+    tokenizer: a tokenizers.Tokenizer.  Memory is bounded by limit pieces and a few
+    times SLICE_BYTES or the longest text.  Nulls count as empty texts.
     """
 
-    def __init__(self, tokenizer, leading: bool = True, lower: bool = False, limit: int = CACHE_PIECES):
+    def __init__(self, tokenizer, limit: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each Python worker; Spark is what runs in parallel
-        self.tokenizer, self.model, self.lower, self.limit = tokenizer, tokenizer.model, lower, limit
+        self.known = settings(tokenizer)
+        leading, self.lower = self.known or (True, False)
+        self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
         self.space, self.spaced = (" ", BYTE_CHARS[32]) if leading else ("", "")
-        self.first: dict[str, bytes | None] = {}
-        self.rest: dict[str, bytes | None] = {}
+        self.first: dict[str, bytes] = {}
+        self.rest: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def _merged(self, pretoken: str) -> bytes:
@@ -101,10 +136,10 @@ class PieceEncoder:
                 out[k] = struct.pack(f"<{len(x.ids)}I", *x.ids)
         return out
 
-    def _values(self, known: dict, pieces: list[str], space: str) -> list[bytes | None]:
-        """Ids of distinct pieces; None where a piece is not cut off safely."""
+    def _values(self, known: dict, pieces: list[str], space: str) -> list[bytes]:
+        """Ids of distinct pieces."""
         out = list(map(known.get, pieces))
-        new = [k for k, (piece, ids) in enumerate(zip(pieces, out, strict=True)) if ids is None and piece and not piece[-1].isspace()]
+        new = [k for k, ids in enumerate(out) if ids is None]
         learned = [pieces[k] for k in new]
         if len(known) + len(new) > self.limit:
             known.clear()
@@ -115,31 +150,49 @@ class PieceEncoder:
         return out
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.known:
+            found = [x.ids for x in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.array(list(itertools.chain.from_iterable(found)), "<u4"), np.array([len(x) for x in found], np.int64)
         cut = pc.split_pattern(texts, " ")
         bounds = cut.offsets.to_numpy()
         coded = cut.flatten().dictionary_encode()
-        index, starts = coded.indices.to_numpy().copy(), bounds[:-1] - bounds[0]
-        values = self._values(self.rest, coded.dictionary.to_pylist(), self.space)
-        if self.space:  # the first piece of a text has none before it
-            heads = coded.take(pa.array(starts)).dictionary_decode().dictionary_encode()
-            index[starts] = heads.indices.to_numpy() + len(values)
-            values += self._values(self.first, heads.dictionary.to_pylist(), "")
-        unsafe = np.fromiter((x is None for x in values), bool, len(values))
-        lengths = np.fromiter((0 if x is None else len(x) // 4 for x in values), np.int64, len(values))
-        ids = np.frombuffer(b"".join(x for x in values if x), "<u4")
-        at, n = (np.cumsum(lengths) - lengths)[index], lengths[index]
+        index, starts = coded.indices.to_numpy(), bounds[:-1] - bounds[0]
+        pieces = coded.dictionary.to_pylist()
+        pieces, index, starts = self._together(pieces, index, starts)
+        heads = np.zeros(len(index), bool)
+        heads[starts if self.space else []] = True  # the first piece of a text has no space before it
+        values = []
+        places = np.empty(len(index), np.int64)
+        for known, space, at in ((self.rest, self.space, np.flatnonzero(~heads)), (self.first, "", np.flatnonzero(heads))):
+            used, where = np.unique(index[at], return_inverse=True)
+            places[at] = where + len(values)
+            values += self._values(known, [pieces[k] for k in used.tolist()], space)
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        ids = np.frombuffer(b"".join(values), "<u4")
+        at, n = (np.cumsum(lengths) - lengths)[places], lengths[places]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         kind = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
         flat = ids[np.repeat((at - (ends - n)).astype(kind), n) + np.arange(total, dtype=kind)]
-        counts = np.add.reduceat(n, starts)
-        for k in np.flatnonzero(np.logical_or.reduceat(unsafe[index], starts))[::-1]:
-            parts = CUT.split(texts[k].as_py())
-            own = np.frombuffer(b"".join(self._pieces(parts[:1], "") + self._pieces(parts[1:], self.space)), "<u4")
-            before = int(counts[:k].sum())
-            flat = np.concatenate([flat[:before], own, flat[before + counts[k] :]])
-            counts[k] = len(own)
-        return flat, counts
+        return flat, np.add.reduceat(n, starts)
+
+    @staticmethod
+    def _together(pieces: list[str], index: np.ndarray, starts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Pieces, their numbers in the texts and each text's first, with open pieces and those after them put together.
+
+        A text's piece is open if it is empty or ends in white space, and isn't the text's last.
+        """
+        open_ = np.fromiter((not p or p[-1].isspace() for p in pieces), bool, len(pieces))[index]
+        open_[np.append(starts[1:], len(index)) - 1] = False
+        if not open_.any():
+            return pieces, index, starts
+        begins = np.flatnonzero(~np.concatenate([[False], open_[:-1]]))
+        sizes = np.diff(np.append(begins, len(index)))
+        joined, new, own = index[begins].copy(), {}, index.tolist()
+        several = np.flatnonzero(sizes > 1)
+        numbers = [new.setdefault(tuple(own[b : b + n]), len(pieces) + len(new)) for b, n in zip(begins[several].tolist(), sizes[several].tolist(), strict=True)]
+        joined[several] = numbers
+        return pieces + [" ".join([pieces[k] for k in key]) for key in new], joined, np.searchsorted(begins, starts)
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Slices of texts: its first row's number, all its ids and the count of each row."""

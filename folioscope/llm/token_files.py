@@ -25,7 +25,6 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from . import common
 
@@ -158,14 +157,16 @@ def _segments(batches):
         yield pa.record_batch([pa.array(x, k) for x, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, kinds, strict=True)], names=names)
 
 
-@F.udf(LongType())
-def _joined(parts):
-    if parts is None:
-        return None
-    crc = 0
-    for p in sorted(parts):
-        crc = crc32_join(crc, p["crc"], 4 * p["n"])
-    return crc
+def _joined(batches):
+    """Documents of several chunks: their parts' checksums put together."""
+    for b in batches:
+        crcs = []
+        for parts in b.column("parts").to_pylist():
+            crc = 0
+            for p in sorted(parts, key=lambda p: p["before"]):
+                crc = crc32_join(crc, p["crc"], 4 * p["n"])
+            crcs.append(crc)
+        yield b.drop_columns(["parts"]).append_column("ids_crc32", pa.array(crcs, pa.int64()))
 
 
 def documents_of(spark: SparkSession, path: str) -> DataFrame:
@@ -181,9 +182,10 @@ def documents_of(spark: SparkSession, path: str) -> DataFrame:
     rows = chunks.mapInArrow(_segments, "shard int, ordinal long, key long, before long, id_start long, n long, crc long")
     part = F.struct("before", "n", "crc")
     docs = rows.groupBy("shard", "ordinal").agg(F.first("key").alias("key"), F.min("id_start").alias("at"), F.sum("n").alias("n_tokens"), F.collect_list(part).alias("parts"))
-    # a Python function sees all rows whatever condition it stands under, so those of one part are hidden from it
-    crc = F.when(F.size("parts") == 1, F.col("parts")[0]["crc"]).otherwise(_joined(F.when(F.size("parts") > 1, F.col("parts"))))
-    return docs.join(base, "shard").select("key", (F.col("base") + F.col("at")).alias("start"), "n_tokens", crc.alias("ids_crc32"))
+    docs = docs.join(base, "shard").select("key", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "parts")
+    kind = "key long, start long, n_tokens long, ids_crc32 long"
+    single = docs.where(F.size("parts") == 1).select("key", "start", "n_tokens", F.col("parts")[0]["crc"].alias("ids_crc32"))
+    return single.unionByName(docs.where(F.size("parts") > 1).mapInArrow(_joined, kind))
 
 
 def token_ids(spark: SparkSession, path: str) -> DataFrame:

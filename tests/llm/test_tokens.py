@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from folioscope.llm import byte_bpe, common, packing, token_counts, token_files
+from folioscope.llm.pieces import PieceEncoder, settings
 
 ODD = [None, "", " ", "  a  b ", "<|endoftext|>", "a <|endoftext|> b", "don't  stop\n\n now ", "naïve café — 漢字 かな\u3000x", "👩‍👩‍👧 é e\u0301 \u200b \x00\x01", "x" * 5000, "ab " * 4000, "\n", "\t\tif x:\r\n  y", "I'LL we'Ll 12345 6,7", "<|startoftext|>Hi</w>", "İstanbul ẞ ß ǅ \xa0 a\x85b", "12 % ( a ) - b ... ?!", "repeated", "repeated"]
 SCHEMA = "doc_id long, text string, n_tokens string, digest string, key int"
@@ -28,6 +31,41 @@ def library(name):
     return Tokenizer.from_file(P.path(name))
 
 
+HARD = ["a  b", " a", "a ", "  ", "a   b  c ", "a \n b", "a\n b  c", "x  <|endoftext|>  y", " " * 5000, "a " * 300 + " ", "\u3000 a \u3000", "a\t \tb", "don't  'll  we", "1  2 ,  , .", "\x85 a \xa0 b"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_runs_of_white_space(name):
+    t, e = library(name), common.encoder(name)
+    rng = np.random.default_rng(0)
+    texts = HARD + ODD + ["".join(rng.choice([" ", "  ", "a", "Bc", "\n", "'s", ",", "é"], 30)) for _ in range(500)]
+    assert [x.tolist() for x in e.each(pa.array(texts, pa.string()))] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_white_space_costs_little():
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(3000)]
+    plain = [" ".join(rng.choice(words, 100)) for _ in range(4000)]
+    times = {}
+    for kind, texts in (("plain", plain), ("double", [x.replace(" ", "  ", 1) for x in plain]), ("all double", [x.replace(" ", "  ") for x in plain])):
+        e = PieceEncoder(library("byte_bpe_50k.json"))
+        began = time.perf_counter()
+        list(e.encode(pa.array(texts)))
+        times[kind] = time.perf_counter() - began
+    assert times["double"] < 3 * times["plain"] + 0.2 and times["all double"] < 6 * times["plain"] + 0.5, times
+
+
+def test_settings_come_from_the_tokenizer():
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    assert settings(library("byte_bpe_50k.json")) == (True, False) and settings(library("word_bpe_49k.json")) == (False, True)
+    t = Tokenizer(models.BPE({"a": 0, "b": 1, " ": 2, "ab": 3}, [("a", "b")]))
+    t.pre_tokenizer, t.normalizer = pre_tokenizers.Whitespace(), normalizers.Lowercase()
+    texts = ["AB  ab", "a b", "", None, " a"]
+    assert settings(t) is None
+    assert [x.tolist() for x in PieceEncoder(t).each(pa.array(texts, pa.string()))] == [t.encode(x or "").ids for x in texts]
+
+
 def rows_of(df):
     return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
 
@@ -140,6 +178,27 @@ def test_empty_tables(spark):
     assert not token_files.documents_of(spark, path).collect()
 
 
+def test_null_and_repeated_keys(spark, odd):
+    rows = spark.createDataFrame([(None, "a b", 1), (None, "a b", 2), (3, None, 3), (3, None, 4), (4, "c", 5)], "doc_id long, text string, n_tokens int")
+    counts = token_counts.count_tokens(rows, common.scratch(spark, "test-cache")).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in counts) == [("3", 0), ("3", 0), ("4", 1), ("None", 2), ("None", 2)]
+    path = common.scratch(spark, "test-ids")
+    token_files.write_ids(rows, path)
+    got = token_files.documents_of(spark, path).orderBy("start").collect()
+    assert [(r["key"], r["n_tokens"]) for r in got] == [(None, 3), (None, 3), (3, 1), (3, 1), (4, 2)] and [r["start"] for r in got] == [0, 3, 6, 7, 8]
+    packed = packing.pack_documents(rows).collect()
+    assert sorted((str(r["doc_id"]), r["length"]) for r in packed) == [("3", 1), ("3", 1), ("4", 2), ("None", 3), ("None", 3)]
+
+
+def test_padding(spark):
+    docs = spark.createDataFrame([(k, "a few words " * (1 + k % 200)) for k in range(2000)], "doc_id long, text string")
+    rows = packing.stored(packing.pack_documents(docs)).collect()
+    assert all(r["stored"] in (r["filled"], 1024) and (r["stored"] == 1024 or r["stored"] & (r["stored"] - 1) == 0) for r in rows)
+    assert sum(r["stored"] for r in rows) <= 1.02 * sum(r["filled"] for r in rows)
+    few = spark.createDataFrame([(1, "sid", 100), (2, "x", 64)], "sequence_id long, o string, length long")
+    assert {(r["sequence_id"], r["filled"], r["stored"]) for r in packing.stored(few).collect()} == {(1, 100, 1024), (2, 64, 64)}
+
+
 def test_packing_does_not_depend_on_splits(spark):
     docs = spark.createDataFrame([(k, "a few words " * (1 + k % 40)) for k in range(400)], "doc_id long, text string")
     n = [packing.pack_documents(docs.repartition(parts)).select("sequence_id").distinct().count() for parts in (1, 50)]
