@@ -2,9 +2,11 @@
 
 A text is the average of learned vectors of its words, of the 3- to 5-byte
 n-grams of each marked word (<word>), and of its word pairs, all hashed into one
-table; a softmax over the average gives the class.  Both layers are trained by
-stochastic gradient descent in numpy, on at most TRAIN_ROWS labelled texts of
-each class, whole, on the driver.
+table; a softmax over the average gives the class.  One more feature, hashed and
+learned as they are, is whether the words of a pair are one word twice, which no
+n-gram of seen words can tell of unseen ones.  Both layers are trained by
+stochastic gradient descent in numpy, on the driver, on whole labelled texts: at
+most TRAIN_ROWS of each class and TRAIN_BYTES of both.
 
 The output is linear in the average, so a trained model is one number for each
 bucket and an offset: a megabyte, whatever the corpus.  Scoring is a map without
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -30,6 +33,8 @@ DIM = 8
 GRAMS = (3, 4, 5)
 #: The bound of the training sample: labelled rows of each class, those with the smallest hashes of their ids.
 TRAIN_ROWS = 2000
+#: The bound of their texts together, so that the driver's memory is bounded whatever their length.
+TRAIN_BYTES = 256 << 20
 EPOCHS = 5
 RATE = 0.3
 ACCEPT = 0.3
@@ -158,21 +163,26 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float =
     return Model((table @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Fits on at most rows labelled rows of each class whose crc32(key as text) mod 5 is not 0.
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+    """Fits on at most rows labelled rows of each class whose crc32(key as text) mod 5 is not 0, with at most size bytes.
 
-    The ids are picked first, 2 * rows at most, and broadcast to one scan of docs; of
-    an id that docs repeat, the smallest text counts.
-    Labels other than 0 and 1, and rows without a text, are left out.
+    The ids are picked first, 2 * rows at most, by hash, and broadcast to a scan of
+    docs for lengths, of which those within size // 2 for each class, in the same
+    order, are read; of an id that docs repeat, the smallest text counts.  Labels
+    other than 0 and 1, ids that have both, null ids and rows without a text are
+    left out; other columns are not looked at.
     """
     ids = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).where(F.col("label").isin(0, 1) & (F.crc32(F.col("key").cast("string")) % 5 != 0))
-    ids = ids.groupBy("key").agg(F.max("label").alias("label"))
+    ids = ids.groupBy("key").agg(F.max("label").alias("label"), F.min("label").alias("other")).where("label = other").drop("other")
     picked = [ids.where(F.col("label") == k).orderBy(F.xxhash64("key"), "key").limit(rows) for k in (0, 1)]
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
     sample = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "key")
-    sample = sample.groupBy("key").agg(F.min("text").alias("text"), F.first("label").alias("label"))
-    got = sorted((r["key"], r["text"], r["label"]) for r in sample.toLocalIterator())
-    return fit([r[1] for r in got], [r[2] for r in got])
+    lengths = sample.groupBy("key").agg(F.max(F.octet_length("text")).alias("n"), F.first("label").alias("label"))
+    upto = F.sum("n").over(W.partitionBy("label").orderBy(F.xxhash64("key"), "key"))
+    within = lengths.withColumn("upto", upto).where(F.col("upto") <= size // 2).select("key", "label")
+    got = texts.join(F.broadcast(within), "key").groupBy("key").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    found = sorted((r["key"], r["text"], r["label"]) for r in got.toLocalIterator())
+    return fit([r[1] for r in found], [r[2] for r in found])
 
 
 def score(docs: DataFrame, model: Model, accept: float = ACCEPT, key: str = "doc_id", text: str = "text") -> DataFrame:

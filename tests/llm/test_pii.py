@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import common, pii
 
-KEY = "a test's key"
+KEY = _key = "a test's key"
 
 
 def no_python(df) -> bool:
@@ -28,7 +28,7 @@ def replaced(spark, *texts):
 
 
 def prf(kind, r, x):
-    return int(hashlib.sha256(f"{KEY}|{kind}|{r}|{x}".encode()).hexdigest()[:15], 16)
+    return int(hashlib.sha256(f"{_key}|{kind}|{r}|{x}".encode()).hexdigest()[:15], 16)
 
 
 def feistel(kind, a, b, m, n):
@@ -128,7 +128,7 @@ def date(m, form):
 
 
 def digest(kind, m):
-    return hashlib.sha512(f"{KEY}|{kind}|{m.lower()}".encode()).hexdigest()
+    return hashlib.sha512(f"{_key}|{kind}|{m.lower()}".encode()).hexdigest()
 
 
 def secret(m):
@@ -153,8 +153,9 @@ def one(m):
     return card(m) if 13 <= len(re.sub("[^0-9]", "", m)) <= 19 else None
 
 
-def plain(text):
-    n = 0
+def plain(text, key=KEY):
+    global _key
+    n, _key = 0, key
 
     def new(m):
         nonlocal n

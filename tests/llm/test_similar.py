@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
+import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from folioscope.llm import common, near_dedup, nn_descent, quality_classifier, quality_rules
+from folioscope.llm import common, near_dedup, nn_descent, pii, quality_classifier, quality_rules
 
 V = "vec_id long, embedding array<float>, id int"
 
@@ -271,6 +276,60 @@ def test_classifier_cases(spark):
     assert quality_classifier.fit([], []).offset == 0.0
 
 
+def plain_score(model, text):
+    """The score worked out n-gram by n-gram."""
+    mask = (1 << 64) - 1
+    mix, p = int(quality_classifier._MIX), int(quality_classifier._P)
+
+    def bucket(h, salt):
+        h = (h + salt) * mix & mask
+        h ^= h >> 29
+        return (h * mix & mask) >> (64 - quality_classifier.BITS)
+
+    words = [b"<" + w.encode() + b">" for w in re.split("[\\x20\\x09-\\x0D]+", text or "")]  # white space at an end gives an empty word, and so does no text
+    hashes = [sum((c + 1) * pow(p, k, 1 << 64) for k, c in enumerate(w)) & mask for w in words]
+    found = [bucket(h, 1) for h in hashes]
+    for w in words:
+        for n in quality_classifier.GRAMS:
+            for k in range(len(w) - n + 1):
+                h = 0
+                for c in w[k : k + n]:
+                    h = (h * p + c + 1) & mask
+                found.append(bucket(h, n))
+    for a, b in itertools.pairwise(hashes):
+        found += [bucket((a * p + b) & mask, 2), bucket(int(a == b), 9)]
+    total = sum(float(model.weights[k]) for k in found) / max(len(found), 1) + model.offset
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
+def test_scores_are_those_of_a_plain_version(spark):
+    rng = random.Random(3)
+    texts = [("fine plain words here and there " * 5, 1), ("## $$ %% spam ## click " * 5, 0)] * 20
+    m = quality_classifier.fit([t for t, _ in texts], [y for _, y in texts])
+    m.weights = np.random.default_rng(0).normal(size=1 << quality_classifier.BITS).astype(np.float32)
+    mixed = ["", "a", "a a", "naïve café 漢字", "x " * 500, "two\nlines\tand more", " edge ", "word" * 3000, None] + [" ".join(rng.choice(["ab", "cde", "fghij", "é", "1"]) for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+    want = [plain_score(m, t) for t in mixed]
+    assert m.scores(pa.array(mixed)).tolist() == pytest.approx(want, abs=1e-6)
+    order = list(range(len(mixed)))
+    rng.shuffle(order)
+    assert m.scores(pa.array([mixed[k] for k in order])).tolist() == pytest.approx([want[k] for k in order], abs=1e-6), "neither order nor company matters"
+    assert [float(m.scores(pa.array([t], pa.string()))[0]) for t in mixed] == pytest.approx(want, abs=1e-6)
+    rows = spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["score"] for r in quality_classifier.score(rows, m).collect()} == pytest.approx(dict(enumerate(want)), abs=1e-6)
+
+
+def test_training_sample(spark):
+    ids = [k for k in range(200) if not quality_classifier.is_held_out(k)][:12]
+    docs = spark.createDataFrame([(k, ("fine words " if k % 2 else "## spam ") * 100, "x") for k in ids], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(k, k % 2) for k in ids] + [(ids[0], 1 - ids[0] % 2), (None, 1), (ids[1], None), (ids[2], 5)], "doc_id long, quality int")
+    whole = quality_classifier.train(docs, labels)
+    same = quality_classifier.train(docs.where(F.col("doc_id") != ids[0]), labels.where(F.col("doc_id") != ids[0]))
+    assert (whole.weights == same.weights).all(), "an id with both labels is left out"
+    assert not quality_classifier.train(docs, labels, size=1000).weights.any(), "no text fits"
+    small = quality_classifier.train(docs, labels, size=5000)
+    assert small.weights.any() and (small.weights != whole.weights).any()
+
+
 def test_repeated_ids_crowd_out_no_class(spark):
     ids = [k for k in range(100) if not quality_classifier.is_held_out(k)][:4]
     docs = spark.createDataFrame([(ids[0], "fine plain words")] * 50 + [(k, "## spam ##" if k > ids[1] else "fine plain words") for k in ids], "doc_id long, text string")
@@ -302,6 +361,38 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == last.count()
 
 
+def test_stages_take_odd_rows(spark, sf_dir):
+    """Nulls in every column, repeated rows, empty and very long texts, and columns with the operators' own names."""
+    good = "the people of the town and the river had a long day in the sun and it was good for all of them to be there with us " * 4
+    rows = [(1, good, "en", "s", 5, 1), (1, good, "en", "s", 5, 1), (2, None, None, None, None, None), (None, good + " more words", None, "s", 1, 2), (3, "", "en", "s", 0, 3), (4, "word " * 100_000, "en", "s", 0, 4), (5, good.upper() + " x@y.org", "en", "s", 0, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id long")
+    now = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        now = common.written(stage(spark, now, sf_dir), "test-stage")
+        assert now.columns == docs.columns, k
+    kept = [r["doc_id"] for r in now.collect()]
+    packed = corpus_pipeline.STAGES[4][1](spark, now, sf_dir).collect()
+    assert {r["doc_id"] for r in packed} == set(kept)
+    assert now.where("text like '%x@y.org%'").isEmpty()
+
+
+def test_last_stages(spark, sf_dir):
+    """Pseudonyms and packing of whole texts, against plain versions."""
+    from test_pii import plain
+
+    docs = common.table(spark, sf_dir, "documents")
+    hidden = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.hide_persons(spark, docs, sf_dir).collect()}
+    texts = {r["doc_id"]: plain(r["text"], pii.TEST_KEY)[0] for r in docs.collect()}
+    assert hidden == {k: (t, None if t is None else len(t)) for k, t in texts.items()}
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.pack(spark, docs, sf_dir).collect())
+    want = []
+    for r in docs.collect():
+        ids = np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        want += [(r["doc_id"], at, len(ids[at : at + 1024]), zlib.crc32(ids[at : at + 1024].tobytes())) for at in range(0, len(ids), 1024)]
+    assert pieces == sorted(want)
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_take_an_empty_table(spark, sf_dir, k):
     none = common.table(spark, sf_dir, "documents").where("false")
