@@ -19,6 +19,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -99,20 +100,30 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     n_rows = groups.agg(F.sum("n")).first()[0] or 0
     linked = hot_join(narrow, groups.drop("n"), groups.select("digest", "n"), "digest", n_rows)
     linked = linked.where("key <> refers_to").select("key", "digest", "refers_to").distinct()
+    # payloads are cut where they are read, so that no shuffle or sort holds a whole one
+    count = F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / chunk_bytes)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substring("payload", k * chunk_bytes + 1, F.lit(chunk_bytes)))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("row", "key", "url", "digest", "n_bytes", count.alias("n_chunks"), F.posexplode(parts).alias("chunk", "part"))
     rows = rows.join(linked.hint("shuffle_hash"), ["key", "digest"], "left")
     revisit = F.col("refers_to").isNotNull()
-    chunks = F.when(revisit, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / chunk_bytes))).cast("long")
-    rows = rows.withColumn("n_chunks", chunks)
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)).alias("chunk"))
-    part = F.when(revisit, F.lit(b"")).otherwise(F.substring("payload", (F.col("chunk") * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes)))
-    rows = rows.select("key", "url", "digest", "n_bytes", "refers_to", "chunk", (F.col("chunk") == F.col("n_chunks") - 1).alias("last"), part.alias("part"))
-    rows.mapInArrow(_write, ROWS).write.option("compression", "none").parquet(path)
+    rows = rows.where(~revisit | (F.col("chunk") == 0))
+    last = revisit | (F.col("chunk") == F.col("n_chunks") - 1)
+    rows = rows.select("row", "key", "url", "digest", "n_bytes", "refers_to", F.col("chunk").cast("long").alias("chunk"), last.alias("last"), F.when(revisit, F.lit(b"")).otherwise(F.col("part")).alias("part"))
+    rows.sortWithinPartitions("row", "chunk").drop("row").mapInArrow(_write, ROWS).write.option("compression", "none").parquet(path)
 
 
 def archive_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ROWS).parquet(path)
 
 
+def archive_bytes(spark: SparkSession, path: str, archive: int) -> Iterator[bytes]:
+    """One archive as the bytes of a .warc.gz file, chunk by chunk; memory is that of a partition of chunks."""
+    rows = archive_chunks(spark, path).where(F.col("archive") == archive).orderBy("record", "chunk").select("data")
+    for r in rows.toLocalIterator():
+        yield bytes(r["data"])
+
+
 class _Reader:
     """Takes a record's chunks in order."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 
@@ -43,11 +44,45 @@ def test_records(spark, chunk, least):
     assert chunks.groupBy("archive", "record").agg(F.max("payload_upto").alias("n")).agg(F.sum("n")).first()[0] == sum(w[1] for w in want if w[3] == "response")
 
 
+def warc_records(data):
+    """Records of a WARC file's plain bytes: header fields and block."""
+    at = 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        version, *lines = data[at:end].decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines)
+        n = int(fields["Content-Length"])
+        block = data[end + 4 : end + 4 + n]
+        assert version == "WARC/1.1" and len(block) == n and data[end + 4 + n : end + 8 + n] == b"\r\n\r\n"
+        yield fields, block
+        at = end + 8 + n
+
+
+def test_archives_are_warc_files(spark, tmp_path):
+    """Each archive's rows in order are a .warc.gz file, a member for each record, long payloads of many chunks included."""
+    pages = spark.createDataFrame([*PAGES, (8, "u9", "line of text\n" * 300_000), (9, "u10", "line of text\n" * 300_000)], "page_id long, url string, html string").repartition(3)
+    path = common.scratch(spark, "test-warc")
+    warc.write_archives(pages, path, chunk_bytes=10_000)
+    seen = []
+    for r in warc.archive_chunks(spark, path).select("archive").distinct().collect():
+        file = tmp_path / f"{r['archive']}.warc.gz"
+        with file.open("wb") as f:
+            f.writelines(warc.archive_bytes(spark, path, r["archive"]))
+        with gzip.open(file) as f:
+            seen += list(warc_records(f.read()))
+    assert len(seen) == len(PAGES) + 2 and len({f["WARC-Record-ID"] for f, _ in seen}) >= 9
+    for fields, block in seen:
+        if fields["WARC-Type"] == "response":
+            assert fields["WARC-Payload-Digest"] == "sha1:" + warc.base32(hashlib.sha1(block).digest())
+        else:
+            assert not block and fields["WARC-Refers-To"] in {f["WARC-Record-ID"] for f, _ in seen}
+    assert sum(len(b) == 3_900_000 for _, b in seen) == 1
+    assert {r["record_type"] for r in warc.read_archives(spark, path).where("page_id >= 8").collect()} == {"response", "revisit"}
+
+
 def test_a_damaged_payload_is_found(spark):
     path, bad = common.scratch(spark, "test-warc"), common.scratch(spark, "test-warc")
     warc.write_archives(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"), path)
-    import gzip
-
     row = warc.archive_chunks(spark, path).first().asDict()
     row["data"] = gzip.compress(gzip.decompress(bytes(row["data"])).replace(b"abc", b"abd"))
     spark.createDataFrame([tuple(row.values())], warc.ROWS).write.parquet(bad)
