@@ -2,7 +2,7 @@
 
 The graph: every distinct vector keeps its DEGREE best neighbours.  It starts
 from random-projection leaves, and each round joins every node's neighbours, and
-REVERSE nodes that have it as theirs, with each other: what are neighbours of a
+REVERSE more nodes that have it as theirs, picked by hash, with each other: what are neighbours of a
 common node are scored, and whoever beats a node's worst neighbour takes its
 place.  Rounds end when few places change, or after ROUNDS.
 
@@ -43,8 +43,8 @@ LEAF = 1024
 ROUNDS = 4
 #: Rounds end when fewer than this share of all places changed.
 CHANGED = 0.02
-BEAM = 224
-EXPAND = 96
+BEAM = 160
+EXPAND = 80
 FLUSH = 400_000
 GRAPH = "id long, nbr binary, score binary"
 
@@ -208,12 +208,18 @@ def _explode(graph: DataFrame, name: str) -> DataFrame:
     return graph.mapInArrow(run, "id long, nbr long, score float").select(F.col("id").alias(name), F.col("nbr"), "score")
 
 
-def _members(graph: DataFrame, reverse: int) -> DataFrame:
-    """(centre, id): each node's neighbours and at most reverse nodes that have it as theirs, the nearest first."""
+def _members(graph: DataFrame, reverse: int, seed: int | None = None) -> DataFrame:
+    """(centre, id): each node's neighbours, and at most reverse nodes that have it as theirs and aren't its neighbours.
+
+    Of those the nearest, or with a seed such as a hash picks, as those are what a
+    node's own neighbours know least of.
+    """
     edges = _explode(graph, "centre")
-    w = W.partitionBy("nbr").orderBy(F.desc("score"), "centre")
-    back = edges.withColumn("r", F.row_number().over(w)).where(F.col("r") <= reverse).select(F.col("nbr").alias("centre"), F.col("centre").alias("id"))
-    return common.written(edges.select("centre", F.col("nbr").alias("id")).unionByName(back).distinct(), "members")
+    back = edges.select(F.col("nbr").alias("centre"), F.col("centre").alias("nbr"), "score").join(edges.select("centre", "nbr"), ["centre", "nbr"], "left_anti")
+    order = [F.desc("score")] if seed is None else [F.xxhash64("centre", "nbr", F.lit(seed))]
+    w = W.partitionBy("centre").orderBy(*order, "nbr")
+    back = back.withColumn("r", F.row_number().over(w)).where(F.col("r") <= reverse)
+    return common.written(edges.select("centre", F.col("nbr").alias("id")).unionByName(back.select("centre", F.col("nbr").alias("id"))), "members")
 
 
 def _spread_join(rows: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -234,9 +240,9 @@ def build_graph(codes: DataFrame, n: int, degree: int = DEGREE, reverse: int = R
             full = [np.frombuffer(x, np.float32) for x in b.column("score").to_pylist()]
             yield pa.record_batch([b.column("id"), pa.array([float(x[-1]) if len(x) >= degree else float("-inf") for x in full], pa.float64())], names=["id", "worst"])
 
-    for _ in range(rounds):
+    for k in range(rounds):
         state = codes.join(graph.mapInArrow(worst, "id long, worst double"), "id", "left").select("id", "code", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
-        members = _members(graph, reverse)
+        members = _members(graph, reverse, k)
         rows = _spread_join(members, state, "id").select("centre", "id", "worst", "code")
         joined = rows.repartition("centre").sortWithinPartitions("centre").mapInArrow(_local_join(degree), GRAPH)
         new = common.written(merge(graph.unionByName(joined), degree), "graph")

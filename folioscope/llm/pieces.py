@@ -164,8 +164,11 @@ class PieceEncoder:
         values = []
         places = np.empty(len(index), np.int64)
         for known, space, at in ((self.rest, self.space, np.flatnonzero(~heads)), (self.first, "", np.flatnonzero(heads))):
-            used, where = np.unique(index[at], return_inverse=True)
-            places[at] = where + len(values)
+            own = index[at]
+            used = np.flatnonzero(np.bincount(own, minlength=len(pieces)))
+            place = np.zeros(len(pieces), np.int64)
+            place[used] = np.arange(len(values), len(values) + len(used))
+            places[at] = place[own]
             values += self._values(known, [pieces[k] for k in used.tolist()], space)
         lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
         ids = np.frombuffer(b"".join(values), "<u4")
