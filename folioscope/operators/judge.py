@@ -9,25 +9,34 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 
 
+#: Items in one block, when items are too short to be joined on their words.
+ITEM_BLOCK = 5000
+
+
 def passages(items: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
     """item_id, doc_id, g_start, g_end: where an item's text first occurs in a document, as it is.
 
     A text that occurs has its inner words whole in the document, so the first
     words of those are what both are joined on, and only such pairs are searched.
-    Items with too few inner words are compared with all documents; they are split
-    off, and few by nature.
+    Items with too few inner words are held against each document a block at a time,
+    within its row, so that only what is found becomes rows.
     """
     inner = F.slice(T.words(F.col("text")), 2, words)
-    items = items.select("item_id", F.col("text").alias("passage"), inner.alias("w"), T.words(F.col("text")).alias("all"))
-    long = items.where(F.size("all") >= words + 2).select("item_id", "passage", F.array_join("w", " ").alias("gram"))
-    short = items.where(F.size("all") < words + 2).select("item_id", "passage")
-    worded = docs.where("text is not null").select("doc_id", T.words(F.col("text")).alias("w")).where(F.size("w") >= words)
+    items = items.select("item_id", F.col("text").alias("passage"), inner.alias("w"), F.size(T.words(F.col("text"))).alias("n_words"))
+    long = items.where(F.col("n_words") >= words + 2).select("item_id", "passage", F.array_join("w", " ").alias("gram"))
+    short = items.where((F.col("n_words") < words + 2) & (F.col("passage") != "")).select("item_id", "passage")
+    docs = docs.where("text is not null").select("doc_id", "text")
+    worded = docs.select("doc_id", T.words(F.col("text")).alias("w")).where(F.size("w") >= words)
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.array_join(F.slice("w", i, words), " "))
     rows = worded.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))
-    pairs = rows.join(long, "gram").select("doc_id", "item_id", "passage").distinct()
-    found = docs.join(pairs, "doc_id").unionByName(docs.where("text is not null").crossJoin(short.where("passage <> ''")), allowMissingColumns=True)
-    at = F.instr(F.col("text"), F.col("passage"))
-    return found.select("item_id", "doc_id", (at - 1).alias("g_start")).where("g_start >= 0").join(items.select("item_id", F.length("passage").alias("n")), "item_id").select("item_id", "doc_id", "g_start", (F.col("g_start") + F.col("n")).alias("g_end"))
+    met = docs.join(rows.join(long, "gram").select("doc_id", "item_id", "passage").distinct(), "doc_id")
+    if n := short.count():
+        block = F.pmod(F.xxhash64("item_id"), F.lit(-(-n // ITEM_BLOCK)))
+        blocks = short.groupBy(block.alias("block")).agg(F.collect_list(F.struct("item_id", "passage")).alias("few"))
+        found = docs.crossJoin(F.broadcast(blocks)).select("doc_id", "text", F.filter("few", lambda x: F.col("text").contains(x["passage"])).alias("few"))
+        met = met.unionByName(found.select("doc_id", "text", F.inline("few")))
+    at = (F.instr(F.col("text"), F.col("passage")) - 1).alias("g_start")
+    return met.select("item_id", "doc_id", at, F.length("passage").alias("n")).where("g_start >= 0").select("item_id", "doc_id", "g_start", (F.col("g_start") + F.col("n")).alias("g_end"))
 
 
 def span_relevance(run: DataFrame, gold: DataFrame, least: float = 0.5) -> DataFrame:

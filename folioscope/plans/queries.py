@@ -43,7 +43,7 @@ def recursive_chunks_whole(spark, sf_dir) -> DataFrame:
     return chunk.recursive(f.docs(spark, sf_dir).where(F.length("text") <= 2048), 512, 0.1).select("doc_id", "chunk_index", "text")
 
 
-@query()
+@query(f"with {f.DOCS}, sp as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\f\\r\\v]+([A-Z(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^[\\s\\v\\x{{85}}\\x{{a0}}\\p{{Z}}]+|[\\s\\v\\x{{85}}\\x{{a0}}\\p{{Z}}]+$', '', 'g')), lambda x: x <> '') as ss from d) select doc_id, cast(unnest(range(len(ss))) as int) as i, unnest(ss) as sentence from sp")
 def sentence_split(spark, sf_dir) -> DataFrame:
     return f.docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence"))
 

@@ -282,6 +282,17 @@ def test_merged_spans(spark):
     assert sorted(tuple(r) for r in metrics.merged_spans(spans, ("q",)).collect()) == [(1, 0, 8), (1, 10, 12), (1, 20, 20)]
 
 
+def test_short_and_long_passages(spark, monkeypatch):
+    texts = ["one two three four five six seven eight nine", "a\ttwo  three", None, "", "ne two three four five six seven eigh"]
+    items = ["two", "ne two three four five six seven eigh", "three four five six seven eight nine ten", "", "two three", "o  t", "nine"]
+    docs = frame(spark, *texts)
+    rows = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(k, d, t.index(x), t.index(x) + len(x)) for k, x in enumerate(items) for d, t in enumerate(texts) if x and t and x in t}
+    for block in (5000, 2):
+        monkeypatch.setattr(judge, "ITEM_BLOCK", block)
+        assert {tuple(r) for r in judge.passages(rows, docs).collect()} == want
+
+
 def test_novelty(spark):
     run = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 3, 12)], "query_id long, rank int, chunk_id long")
     bridge = spark.createDataFrame([(10, "g"), (11, "g"), (12, "h")], "chunk_id long, gold_id string")
