@@ -16,20 +16,23 @@ ITEM_BLOCK = 5000
 def passages(items: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
     """item_id, doc_id, g_start, g_end: where an item's text first occurs in a document, as it is.
 
-    A text that occurs has its inner words whole in the document, so the first
-    words of those are what both are joined on, and only such pairs are searched.
+    A text that occurs has its inner words whole in the document, so two neighbours
+    of those are what both are joined on, and only such pairs are searched.
     Items with too few inner words are held against each document a block at a time,
     within its row, so that only what is found becomes rows.
     """
-    inner = F.slice(T.words(F.col("text")), 2, words)
-    items = items.select("item_id", F.col("text").alias("passage"), inner.alias("w"), F.size(T.words(F.col("text"))).alias("n_words"))
-    long = items.where(F.col("n_words") >= words + 2).select("item_id", "passage", F.array_join("w", " ").alias("gram"))
+    items = items.select("item_id", F.col("text").alias("passage"), T.words(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
+    # of a passage's inner pairs of words the longest, which is likely a rare one
+    pairs = lambda w, first, last: F.transform(F.sequence(first, last), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
+    inner = pairs(F.col("w"), F.lit(2), F.lit(words))
+    longest = F.element_at(F.sort_array(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"]
+    long = items.where(F.col("n_words") >= words + 2).select("item_id", "passage", longest.alias("gram"))
     short = items.where((F.col("n_words") < words + 2) & (F.col("passage") != "")).select("item_id", "passage")
     docs = docs.where("text is not null").select("doc_id", "text")
     worded = docs.select("doc_id", T.words(F.col("text")).alias("w")).where(F.size("w") >= words)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.array_join(F.slice("w", i, words), " "))
-    rows = worded.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))
-    met = docs.join(rows.join(long, "gram").select("doc_id", "item_id", "passage").distinct(), "doc_id")
+    # a row for each distinct pair of words; those that no item asks for go before anything is shuffled
+    rows = worded.select("doc_id", F.explode(F.array_distinct(pairs(F.col("w"), F.lit(1), F.size("w") - 1))).alias("gram"))
+    met = docs.join(rows.join(long, "gram").select("doc_id", "item_id", "passage"), "doc_id")
     if n := short.count():
         block = F.pmod(F.xxhash64("item_id"), F.lit(-(-n // ITEM_BLOCK)))
         blocks = short.groupBy(block.alias("block")).agg(F.collect_list(F.struct("item_id", "passage")).alias("few"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import chunk, judge, retrieve, sections
+from folioscope.sources import scratch
 
 #: Chunk ids are doc_id * this + chunk_index.
 WIDE = 1_000_000
@@ -26,23 +27,24 @@ def fixed_chunks(spark, sf_dir) -> DataFrame:
 
 
 def gold(spark, sf_dir) -> DataFrame:
-    """item_id, doc_id, g_start, g_end of the benchmark's passages in the documents."""
-    return judge.passages(table(spark, sf_dir, "benchmark"), docs(spark, sf_dir))
+    """item_id, doc_id, g_start, g_end of the benchmark's passages in the documents; written, as more than one step reads it."""
+    return scratch.written(judge.passages(table(spark, sf_dir, "benchmark"), docs(spark, sf_dir)), "gold")
 
 
-def asked(spark, sf_dir) -> DataFrame:
+def asked(spark, sf_dir, g: DataFrame | None = None) -> DataFrame:
     """query_id, text of the items that occur in some document."""
-    return table(spark, sf_dir, "benchmark").join(gold(spark, sf_dir).select("item_id").distinct(), "item_id", "left_semi").select(F.col("item_id").alias("query_id"), "text")
+    g = gold(spark, sf_dir) if g is None else g
+    return table(spark, sf_dir, "benchmark").join(g.select("item_id").distinct(), "item_id", "left_semi").select(F.col("item_id").alias("query_id"), "text")
 
 
-def lexical_run(spark, sf_dir, k: int = 10) -> DataFrame:
+def lexical_run(spark, sf_dir, k: int = 10, g: DataFrame | None = None) -> DataFrame:
     """query_id, rank, chunk_id, score, doc_id, char_start, char_end."""
     chunks = fixed_chunks(spark, sf_dir)
-    return retrieve.looked_up(retrieve.bm25(chunks, asked(spark, sf_dir), k), chunks.select("chunk_id", "doc_id", "char_start", "char_end"))
+    return retrieve.looked_up(retrieve.bm25(chunks, asked(spark, sf_dir, g), k), chunks.select("chunk_id", "doc_id", "char_start", "char_end"))
 
 
-def gold_spans(spark, sf_dir) -> DataFrame:
-    return gold(spark, sf_dir).withColumnRenamed("item_id", "query_id")
+def gold_spans(spark, sf_dir, g: DataFrame | None = None) -> DataFrame:
+    return (gold(spark, sf_dir) if g is None else g).withColumnRenamed("item_id", "query_id")
 
 
 def vectors(spark, sf_dir) -> DataFrame:

@@ -317,8 +317,9 @@ rel as (select rr.query_id, rank, max(case when greatest(0, least(char_end, g_en
   from rr left join g on g.item_id = rr.query_id and g.doc_id = rr.doc_id group by rr.query_id, rank)"""
 
 
-def _span_relevance(spark, sf_dir):
-    return judge.span_relevance(f.lexical_run(spark, sf_dir), f.gold_spans(spark, sf_dir))
+def _span_relevance(spark, sf_dir, g=None):
+    g = f.gold(spark, sf_dir) if g is None else g
+    return judge.span_relevance(f.lexical_run(spark, sf_dir, g=g), f.gold_spans(spark, sf_dir, g))
 
 
 @query(f"{_SPANS} select * from rel")
@@ -328,7 +329,8 @@ def span_overlap_relevance(spark, sf_dir) -> DataFrame:
 
 @query(f"{_SPANS} select q.query_id, cast(k as int) as rank, coalesce(rel.rel, 0) as rel from q cross join (select unnest(range(1, 11)) as k) left join rel on rel.query_id = q.query_id and rel.rank = k")
 def rank_spine(spark, sf_dir) -> DataFrame:
-    return judge.spine(f.asked(spark, sf_dir), _span_relevance(spark, sf_dir), 10)
+    g = f.gold(spark, sf_dir)
+    return judge.spine(f.asked(spark, sf_dir, g), _span_relevance(spark, sf_dir, g), 10)
 
 
 @query(f"""with {f.bm25_sql(10)}, rr as (select run.*, c.doc_id, c.text from run join c using (chunk_id)),
@@ -336,8 +338,9 @@ a as (select g.item_id as query_id, g.doc_id as gold_doc, substring(b.text, 1, 1
 select rr.query_id, rank, max(case when contains(rr.text, start) and rr.doc_id <> gold_doc then 1 else 0 end) as rel from rr left join a using (query_id) group by rr.query_id, rank""")
 def answer_text_fallback(spark, sf_dir) -> DataFrame:
     c = f.fixed_chunks(spark, sf_dir)
-    hits = f.lexical_run(spark, sf_dir).join(c.select("chunk_id", "text"), "chunk_id")
-    answers = f.gold(spark, sf_dir).join(f.table(spark, sf_dir, "benchmark"), "item_id").select(F.col("item_id").alias("query_id"), F.col("text").alias("answer"), "doc_id")
+    g = f.gold(spark, sf_dir)
+    hits = f.lexical_run(spark, sf_dir, g=g).join(c.select("chunk_id", "text"), "chunk_id")
+    answers = g.join(f.table(spark, sf_dir, "benchmark"), "item_id").select(F.col("item_id").alias("query_id"), F.col("text").alias("answer"), "doc_id")
     return judge.answer_matches(hits, answers)
 
 
@@ -446,8 +449,9 @@ cs as (select query_id, k, coalesce(fnd, 0) / greatest(gold_chars, 1)::double as
 
 
 def _chars(spark, sf_dir):
-    h = retrieve.at_depths(f.lexical_run(spark, sf_dir), (1, 2, 4, 8, 10)).select("query_id", "k", "doc_id", F.col("char_start").alias("s"), F.col("char_end").alias("e"))
-    g = f.gold_spans(spark, sf_dir).select("query_id", "doc_id", F.col("g_start").alias("s"), F.col("g_end").alias("e"))
+    gold = f.gold(spark, sf_dir)
+    h = retrieve.at_depths(f.lexical_run(spark, sf_dir, g=gold), (1, 2, 4, 8, 10)).select("query_id", "k", "doc_id", F.col("char_start").alias("s"), F.col("char_end").alias("e"))
+    g = f.gold_spans(spark, sf_dir, gold).select("query_id", "doc_id", F.col("g_start").alias("s"), F.col("g_end").alias("e"))
     return metrics.char_scores(h, g, (1, 2, 4, 8, 10))
 
 
@@ -585,6 +589,7 @@ def p_format(spark, sf_dir) -> DataFrame:
 @query(f"{_SPANS}, pq as (select sp.query_id, max(case when k <= 1 then coalesce(rel.rel, 0) else 0 end) * 1.0::double as r1, max(case when k <= 5 then coalesce(rel.rel, 0) else 0 end) * 1.0::double as r5, max(coalesce(rel.rel, 0)) * 1.0::double as r10, coalesce(1.0::double / min(case when rel.rel = 1 then k end), 0) as rr from (select query_id, k from q, (select unnest(range(1, 11)) as k)) sp left join rel on rel.query_id = sp.query_id and rel.rank = k group by sp.query_id) select round(avg(r1), 6) as r_at_1, round(avg(r5), 6) as r_at_5, round(avg(r10), 6) as r_at_10, round(avg(rr), 6) as mrr, count(*) as n_queries from pq")
 def span_benchmark(spark, sf_dir) -> DataFrame:
     """Gold passages, fixed chunks, BM25, overlap judgement, recall and reciprocal rank: the flagship."""
-    rel = judge.spine(f.asked(spark, sf_dir), _span_relevance(spark, sf_dir), 10)
+    g = f.gold(spark, sf_dir)
+    rel = judge.spine(f.asked(spark, sf_dir, g), _span_relevance(spark, sf_dir, g), 10)
     p = metrics.per_query(rel)
     return p.agg(*(F.round(F.avg(f"r_at_{k}"), 6).alias(f"r_at_{k}") for k in (1, 5, 10)), F.round(F.avg("rr"), 6).alias("mrr"), F.count(F.lit(1)).alias("n_queries"))

@@ -221,9 +221,13 @@ def test_bm25_both_ways_and_padding(spark, monkeypatch):
     assert sorted(r["rank"] for r in full if r["query_id"] == 3) == list(range(1, 11)) and {r["chunk_id"] for r in full if r["query_id"] == 3} == set(range(10))
 
 
-def test_only_asked_terms_are_shuffled(spark):
+def test_only_asked_terms_are_shuffled(spark, monkeypatch):
     chunks = spark.createDataFrame([(1, "a b")], "chunk_id long, text string")
-    plan = retrieve.bm25(chunks, spark.createDataFrame([(1, "aa bb")], "query_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    seen = []
+    written = retrieve.scratch.written
+    monkeypatch.setattr(retrieve.scratch, "written", lambda df, name: (seen.append(df._jdf.queryExecution().executedPlan().toString()), written(df, name))[1])
+    retrieve.bm25(chunks, spark.createDataFrame([(1, "aa bb")], "query_id long, text string"))
+    plan = seen[-1]
     assert re.search(r"BroadcastHashJoin \[term#\d+\], \[term#\d+\], LeftSemi", plan)
 
 
