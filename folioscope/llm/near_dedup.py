@@ -380,11 +380,13 @@ def links(docs: DataFrame, prints: DataFrame, key: str = "doc_id", text: str = "
     classes = prints.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = common.written(classes.select("key", "n", "sketch"), "classes")
     first = common.written(_pairs(classes.withColumn("component", F.col("key")), percent, True), "candidates")
+    common.release(docs.sparkSession)
     named = common.written(components(_confirmed(docs, first, key, text, words, percent)), "components")
     common.release(docs.sparkSession)
     # what is still apart: all likely pairs, but for those that were looked at
     apart = classes.join(named.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "sketch", F.coalesce("component", "key").alias("component"))
     rest = common.written(_pairs(apart, percent, False).join(first, ["a", "b"], "left_anti"), "candidates")
+    common.release(docs.sparkSession)
     edges = named.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return edges if rest.isEmpty() else edges.unionByName(_confirmed(docs, rest, key, text, words, percent))
 
@@ -443,7 +445,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with the columns of docs."""
-    gone = near_duplicates(docs, key, text, words, percent).where("not kept").select(key).distinct()
+    gone = common.written(near_duplicates(docs, key, text, words, percent).where("not kept").select(key).distinct(), "gone")
+    common.release(docs.sparkSession)
     return docs.join(gone.hint("shuffle_hash"), key, "left_anti").select(docs.columns)
 
 
