@@ -38,7 +38,7 @@ TRAIN_BYTES = 256 << 20
 EPOCHS = 5
 RATE = 0.3
 ACCEPT = 0.3
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 _P = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
