@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.functions import text as T
 from folioscope.operators import chunk, judge, retrieve, sections
 from folioscope.sources import scratch
 

@@ -11,7 +11,6 @@ from folioscope.sources import files, scratch, sinks
 
 OURS = "Structural + Hybrid"
 BASELINES = ("Recursive + Dense", "BM25 Only", "Naive Hybrid")
-NAMED = {"contractnli": "ContractNLI", "cuad": "CUAD", "maud": "MAUD", "privacyqa": "PrivacyQA"}
 
 
 def numbered(chunks: DataFrame, name: str) -> DataFrame:
