@@ -353,10 +353,15 @@ def _confirm(percent: int):
     return run
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A scratch table; its shuffle files, which can be over twice the input, are gone when the next step begins."""
+    return common.written(df, name, tidy=True)
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """key, n (shingles), digest of the shingle set, sketch; written to the shared folder."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return common.written(rows.mapInArrow(_fingerprints(words), "key long, n long, digest binary, sketch binary"), "fingerprints")
+    return _written(rows.mapInArrow(_fingerprints(words), "key long, n long, digest binary, sketch binary"), "fingerprints")
 
 
 def _pairs(classes: DataFrame, percent: int, forest: bool) -> DataFrame:
@@ -370,22 +375,25 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, words: in
     active = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(active.hint("shuffle_hash"), "key", "left_semi")
     # a key that comes twice stands for its smallest set
-    sets = common.written(texts.mapInArrow(_set_rows(words), "key long, members binary").groupBy("key").agg(F.min("members").alias("members")), "sets")
+    sets = _written(texts.mapInArrow(_set_rows(words), "key long, members binary").groupBy("key").agg(F.min("members").alias("members")), "sets")
     x, y = sets.select(F.col("key").alias("a"), F.col("members").alias("x")), sets.select(F.col("key").alias("b"), F.col("members").alias("y"))
-    return common.written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    out = _written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    common.drop(sets)
+    return out
 
 
 def links(docs: DataFrame, prints: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) between class representatives that connect what confirmed links connect."""
     classes = prints.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = common.written(classes.select("key", "n", "sketch"), "classes")
-    first = common.written(_pairs(classes.withColumn("component", F.col("key")), percent, True), "candidates")
+    classes = _written(classes.select("key", "n", "sketch"), "classes")
+    first = _written(_pairs(classes.withColumn("component", F.col("key")), percent, True), "candidates")
     common.release(docs.sparkSession)
-    named = common.written(components(_confirmed(docs, first, key, text, words, percent)), "components")
+    named = _written(components(_confirmed(docs, first, key, text, words, percent)), "components")
     common.release(docs.sparkSession)
     # what is still apart: all likely pairs, but for those that were looked at
     apart = classes.join(named.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "sketch", F.coalesce("component", "key").alias("component"))
-    rest = common.written(_pairs(apart, percent, False).join(first, ["a", "b"], "left_anti"), "candidates")
+    rest = _written(_pairs(apart, percent, False).join(first, ["a", "b"], "left_anti"), "candidates")
+    common.drop(classes)
     common.release(docs.sparkSession)
     edges = named.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return edges if rest.isEmpty() else edges.unionByName(_confirmed(docs, rest, key, text, words, percent))
@@ -399,7 +407,7 @@ def components(edges: DataFrame) -> DataFrame:
     before it is deleted.  A hub's edges are joined with its least neighbour by
     broadcast, so that a star of a third of all nodes is no task's alone.
     """
-    now = common.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "stars")
+    now = _written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "stars")
     state = None
     while True:
         found = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -409,14 +417,14 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _to_least(both, 2 * found[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         joined = _to_least(large, found[0])
-        new = common.written(joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "stars")
+        new = _written(joined.select("a", F.col("m").alias("b")).unionByName(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "stars")
         common.drop(now)
         now = new
 
 
 def _to_least(edges: DataFrame, n_rows: int) -> DataFrame:
     """edges (a, b) with m, the least of a and all its b."""
-    each = common.written(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    each = _written(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
     least = each.select("a", F.least("a", "m").alias("m"))
     if (each.agg(F.max("n")).first()[0] or 0) <= HUB:
         return edges.join(least, "a")
@@ -434,7 +442,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     prints = fingerprints(docs, key, text, words)
     labels = components(links(docs, prints, key, text, words, percent))
     real = prints.where("n > 0 and key is not null")
-    groups = common.written(real.groupBy("digest").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("copies")), "groups")
+    groups = _written(real.groupBy("digest").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("copies")), "groups")
     n_rows = groups.agg(F.sum("copies")).first()[0] or 0
     named = groups.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     rows = hot_join(real.select("key", "n", "digest"), named, groups.select("digest", F.col("copies").alias("n")), "digest", n_rows)
@@ -445,7 +453,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with the columns of docs."""
-    gone = common.written(near_duplicates(docs, key, text, words, percent).where("not kept").select(key).distinct(), "gone")
+    gone = _written(near_duplicates(docs, key, text, words, percent).where("not kept").select(key).distinct(), "gone")
     common.release(docs.sparkSession)
     return docs.join(gone.hint("shuffle_hash"), key, "left_anti").select(docs.columns)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -234,6 +237,37 @@ def test_repeated_rows_and_null_keys(spark):
     assert not near_dedup.near_duplicates(rows.where("false")).collect()
 
 
+def test_no_step_keeps_the_shuffle_files_of_another(spark, sf_dir, monkeypatch):
+    """Shuffle files go when a step has been written, without waiting for the driver's garbage; so do large tables that no later step reads."""
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f for f in found if "/shuffle_" in f}
+
+    def size():
+        total = 0
+        for f in files() - before:
+            with contextlib.suppress(OSError):  # it may go meanwhile
+                total += os.path.getsize(f)
+        return total
+
+    def written(df, name, *rest, **named):
+        out = write(df, name, *rest, **named)
+        end = time.time() + 3
+        while size() > 50_000 and time.time() < end:
+            time.sleep(0.05)
+        steps.append((name, size(), out._scratch))
+        return out
+
+    before, steps, write = files(), [], common.written
+    monkeypatch.setattr(common, "written", written)
+    near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"))
+    assert {"classes", "candidates", "sets", "links", "components"} <= {name for name, _, _ in steps}
+    assert [(name, n) for name, n, _ in steps if n > 50_000] == []
+    assert not any(os.path.exists(path) for name, _, path in steps if name in ("classes", "sets"))
+    assert spark.conf.get(common.CLEANUP, None) is None, "the session's setting is as it was"
+
+
 @pytest.mark.parametrize("hub", [10_000, 50])
 def test_components(spark, monkeypatch, hub):
     monkeypatch.setattr(near_dedup, "HUB", hub)
