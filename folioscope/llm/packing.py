@@ -88,16 +88,18 @@ def _cut(name: str, end: int, window: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         e, base, n = common.encoder(name), TaskContext.get().partitionId() << 36, 0
         for b in batches:
-            rows = []
-            for key, ids in zip(b.column("key").to_pylist(), e.each(b.column("text")), strict=True):
-                ids = np.append(ids, np.uint32(end)).astype("<u4")
-                data, total = ids.tobytes(), len(ids)
-                for at in range(0, total, window):
-                    piece = (key, at, min(window, total - at), zlib.crc32(data[4 * at : 4 * (at + window)]), total)
-                    full = piece[2] == window
-                    rows.append((*piece, base + n if full else None, 0))
-                    n += full
-            yield _batch(rows)
+            keys = b.column("key").to_pylist()
+            for first, flat, counts in e.encode(b.column("text")):
+                rows = []
+                for key, ids in zip(keys[first : first + len(counts)], np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+                    ids = np.append(ids, np.uint32(end)).astype("<u4")
+                    data, total = ids.tobytes(), len(ids)
+                    for at in range(0, total, window):
+                        piece = (key, at, min(window, total - at), zlib.crc32(data[4 * at : 4 * (at + window)]), total)
+                        full = piece[2] == window
+                        rows.append((*piece, base + n if full else None, 0))
+                        n += full
+                yield _batch(rows)
 
     return run
 
@@ -140,10 +142,10 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: i
     any other row does; an empty table gives no row; other columns aren't looked at.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    pieces = common.written(rows.mapInArrow(_cut(tokenizer, end, window), PIECES), "pieces")
+    pieces = common.written(rows.mapInArrow(common.frugal(_cut(tokenizer, end, window)), PIECES), "pieces")
     rests = pieces.where("sequence_id is null")
     groups = max(1, -(-rests.count() // GROUP_RESTS))
-    return pieces.where("sequence_id is not null").unionByName(rests.repartition(groups).mapInArrow(_place(window, pack_rows), PIECES))
+    return pieces.where("sequence_id is not null").unionByName(rests.repartition(groups).mapInArrow(common.frugal(_place(window, pack_rows)), PIECES))
 
 
 def stored(pieces: DataFrame, window: int = WINDOW) -> DataFrame:

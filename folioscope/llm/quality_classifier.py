@@ -212,7 +212,7 @@ def keep_accepted(docs: DataFrame, model: Model, accept: float = ACCEPT, text: s
             good = shared.value.scores(b.column(text)) >= accept
             yield b.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.frugal(run), docs.schema)
 
 
 def is_held_out(key: int) -> bool:
