@@ -74,3 +74,18 @@ def test_only_chunks_that_are_hit_are_shuffled(spark, no_hints):
     rows = retrieve.looked_up(run, chunks)
     assert re.search(r"BroadcastHashJoin \[chunk_id#\d+L\], \[chunk_id#\d+L\], LeftSemi", plan(rows))
     assert sorted((r["rank"], r["text"]) for r in rows.collect()) == [(1, "5"), (2, "")]
+
+
+def test_a_task_gives_the_best_of_its_vectors(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(600, 8)).astype(np.float32)
+    x[200:] = x[3]  # copies: ties go to the smaller ids
+    v = spark.createDataFrame([(k, [float(c) for c in row]) for k, row in enumerate(x)], "chunk_id long, vector array<float>").coalesce(1)
+    q = v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    monkeypatch.setattr(retrieve, "VECTOR_BLOCK", 64)
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 16)
+    s = np.round(x.astype(np.float64) @ x.astype(np.float64).T, 12)
+    want = {(i, r + 1, int(j)) for i in range(0, 600, 20) for r, j in enumerate([j for j in np.lexsort((np.arange(600), -s[i])) if j != i][:7])}
+    assert {(r["query_id"], r["rank"], r["chunk_id"]) for r in retrieve.dense(v, q, 7, True).collect()} == want
+    monkeypatch.setattr(retrieve, "top", lambda scored, k: scored)
+    scored = retrieve.dense(v, q, 7, True)
+    assert scored.count() == 30 * 7 and "Join" not in plan(scored), "no pairs of blocks, and not the best of each block"
