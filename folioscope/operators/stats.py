@@ -45,12 +45,22 @@ def with_p(tests: DataFrame) -> DataFrame:
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", family: tuple[str, ...] = ()) -> DataFrame:
-    """Adds p_adjusted within each family: p * n / rank, then the least from the largest p down."""
-    w = W.partitionBy(*family)
-    order = [p, *(c for c in tests.columns if c not in (p, *family))][:2]
-    ranked = tests.withColumns({"_n": F.count(F.lit(1)).over(w), "_r": F.row_number().over(w.orderBy(*order))})
-    ranked = ranked.withColumn("_q", F.least(F.col(p) * F.col("_n") / F.col("_r"), F.lit(1.0)))
-    return ranked.withColumn("p_adjusted", F.min("_q").over(w.orderBy("_r").rowsBetween(0, W.unboundedFollowing))).drop("_n", "_r", "_q")
+    """Adds p_adjusted within each family: p * n / rank, then the least from the largest p down.
+
+    Of equal p the one ranked last has the least quotient, so they all have one
+    adjusted p.  Windows are over a family's distinct p and their counts, and run from
+    one end: a frame that is open at the far end is read again for every row.
+    """
+    counts = tests.groupBy(*(F.col(c).alias(f"_{k}") for k, c in enumerate(family)), F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_t"))
+    keys = [f"_{k}" for k in range(len(family))]
+    up, down = (W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0) for order in (F.asc("_p"), F.desc("_p")))
+    ranked = counts.withColumns({"_n": F.sum("_t").over(W.partitionBy(*keys)), "_r": F.sum("_t").over(up)})
+    ranked = ranked.withColumn("_q", F.least(F.col("_p") * F.col("_n") / F.col("_r"), F.lit(1.0)))
+    ranked = ranked.select(*keys, "_p", F.min("_q").over(down).alias("p_adjusted"))
+    same = F.col(p).eqNullSafe(F.col("_p"))
+    for k, c in enumerate(family):
+        same &= F.col(c).eqNullSafe(F.col(f"_{k}"))
+    return tests.join(ranked, same).select(*tests.columns, "p_adjusted")
 
 
 def cohens_d(pairs: DataFrame, by: tuple[str, ...] = ("comparison",)) -> DataFrame:

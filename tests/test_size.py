@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from folioscope.operators import judge, retrieve
+from folioscope.operators import judge, retrieve, stats
 
 
 def plan(df) -> str:
@@ -89,3 +89,19 @@ def test_a_task_gives_the_best_of_its_vectors(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "top", lambda scored, k: scored)
     scored = retrieve.dense(v, q, 7, True)
     assert scored.count() == 30 * 7 and "Join" not in plan(scored), "no pairs of blocks, and not the best of each block"
+
+
+def test_adjusted_p(spark):
+    rng = random.Random(4)
+    rows = [(k, k % 2, rng.choice([None, 0.0, 0.001, 0.01, 0.02, 0.3, 0.9, 1.0]) if k % 3 else rng.random()) for k in range(400)]
+    tests = spark.createDataFrame(rows, "test_id long, family int, p double")
+    got = stats.benjamini_hochberg(tests, family=("family",))
+    want = {}
+    for part in (0, 1):
+        mine = sorted((r for r in rows if r[1] == part), key=lambda r: (-1 if r[2] is None else r[2], r[0]))
+        least = 1.0
+        for rank in range(len(mine), 0, -1):
+            test, _, p = mine[rank - 1]
+            want[test] = least = min(least, 1.0 if p is None else p * len(mine) / rank)
+    assert {r["test_id"]: r["p_adjusted"] for r in got.collect()} == want
+    assert "currentrow$(), unboundedfollowing$()" not in got._jdf.queryExecution().optimizedPlan().toString(), "such a frame is read again for every row"
