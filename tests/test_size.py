@@ -8,7 +8,8 @@ import re
 import numpy as np
 import pytest
 
-from folioscope.operators import judge, retrieve, stats
+from folioscope.operators import judge, retrieve, sections, stats
+from folioscope.plans import frames as f
 
 
 def plan(df) -> str:
@@ -105,3 +106,31 @@ def test_adjusted_p(spark):
             want[test] = least = min(least, 1.0 if p is None else p * len(mine) / rank)
     assert {r["test_id"]: r["p_adjusted"] for r in got.collect()} == want
     assert "currentrow$(), unboundedfollowing$()" not in got._jdf.queryExecution().optimizedPlan().toString(), "such a frame is read again for every row"
+
+
+def one_pass(df) -> bool:
+    """Nothing is shuffled, and the rows are read and given to Python once."""
+    p = plan(df)
+    return "Exchange" not in p and p.count("MapInArrow") == 1 and "EvalPython" not in p and p.count("Scan") == 1
+
+
+def test_documents_are_parsed_in_one_pass(spark, sf_dir):
+    d = sections.parsed(f.statutes(spark, sf_dir))
+    assert all(map(one_pass, (d.sections, d.chapters, d.section_content("5"))))
+
+
+def test_headings_are_those_of_the_patterns():
+    rng = random.Random(0)
+    parts = ["1. ", "12A. ", "Abcd", "Heading of", "—", ".—", " ", "\n", "\n\n", "CHAPTER II\n", "\nArticle 1\n", "\nArticle 22b\n", "Title words\n", "3.\n", "\n4. Bcde—", "\t"]
+    whole = [re.compile(p.replace("END", r"\Z"), re.DOTALL) for p in (sections.SECTION, sections.ARTICLE)]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 16)))
+        want = next((x for p in whole if (x := [(m[1], m[2].strip(), m[3], m.start()) for m in p.finditer(text)])), [])
+        assert [x[1:] for x in sections.grammar(text) if x[0] == "section"] == want
+
+
+def test_a_python_batch_is_a_few_documents(spark):
+    docs = spark.range(1000).selectExpr("id as doc_id", "concat('1. Title of it—', repeat('words ', 200)) as text").coalesce(1)
+    rows = sections.by_document(docs, lambda text: [(len(text),)], "n int")
+    assert rows.selectExpr("sum(n)").first()[0] == sum(len("1. Title of it—") + 1200 for _ in range(1000))
+    assert sections.DOCS_AT_ONCE <= 1000
