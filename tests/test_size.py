@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from folioscope.operators import judge, retrieve, sections, stats
+from folioscope.operators import chunk, judge, retrieve, sections, stats
 from folioscope.plans import frames as f
 
 
@@ -119,6 +119,10 @@ def test_documents_are_parsed_in_one_pass(spark, sf_dir):
     assert all(map(one_pass, (d.sections, d.chapters, d.section_content("5"))))
 
 
+def test_contracts_are_cut_in_one_pass(spark, sf_dir):
+    assert one_pass(chunk.contracts(f.agreements(spark, sf_dir)))
+
+
 def test_headings_are_those_of_the_patterns():
     rng = random.Random(0)
     parts = ["1. ", "12A. ", "Abcd", "Heading of", "—", ".—", " ", "\n", "\n\n", "CHAPTER II\n", "\nArticle 1\n", "\nArticle 22b\n", "Title words\n", "3.\n", "\n4. Bcde—", "\t"]
