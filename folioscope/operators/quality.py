@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.sources import scratch
 
 from .encode import Encoder, encoded
 
@@ -93,9 +94,10 @@ def titled(chunks: DataFrame, header: str = r"^\s*(?:\[[^\]]*\]\s*)?(?:Section|A
 
 def reference_preservation(edges: DataFrame, chunks: DataFrame, sections: DataFrame) -> DataFrame:
     """n_edges, kept: references (doc_id, src_no, dst_no) whose source's chunk names the target by number or title."""
-    pairs = edges.select("doc_id", "src_no", "dst_no").distinct()
-    rows = pairs.join(chunks.select("doc_id", F.col("section_no").cast("string").alias("src_no"), "text"), ["doc_id", "src_no"])
-    rows = rows.join(sections.select("doc_id", F.col("section_no").cast("string").alias("dst_no"), "title"), ["doc_id", "dst_no"])
+    pairs = scratch.written(edges.select("doc_id", "src_no", "dst_no").distinct(), "pairs")  # read twice
+    # titles come to the pairs first, so that a chunk's text is shuffled once at most
+    rows = pairs.join(sections.select("doc_id", F.col("section_no").cast("string").alias("dst_no"), "title"), ["doc_id", "dst_no"])
+    rows = rows.join(chunks.select("doc_id", F.col("section_no").cast("string").alias("src_no"), "text"), ["doc_id", "src_no"])
     by_title = (F.col("title") != "") & F.lower("text").contains(F.lower("title"))
     # numbers are extracted once and compared, so no pattern depends on the row
     said = F.transform(T.mentioned_sections(F.col("text")), F.lower)

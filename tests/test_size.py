@@ -8,8 +8,9 @@ import re
 import numpy as np
 import pytest
 
-from folioscope.operators import chunk, judge, retrieve, sections, stats
+from folioscope.operators import chunk, judge, quality, retrieve, sections, stats
 from folioscope.plans import frames as f
+from folioscope.sources import scratch
 
 
 def plan(df) -> str:
@@ -138,3 +139,12 @@ def test_a_python_batch_is_a_few_documents(spark):
     rows = sections.by_document(docs, lambda text: [(len(text),)], "n int")
     assert rows.selectExpr("sum(n)").first()[0] == sum(len("1. Title of it—") + 1200 for _ in range(1000))
     assert sections.DOCS_AT_ONCE <= 1000
+
+
+def test_a_chunk_is_shuffled_once(spark, sf_dir, no_hints):
+    s = scratch.written(f.lines(spark, sf_dir), "lines")
+    assert "Exchange" not in plan(f.lines(spark, sf_dir)), "lines are counted in their document's row"
+    got = quality.reference_preservation(sections.edges(s), f.structural(spark, sf_dir, s), s)
+    tree = got._jdf.queryExecution().optimizedPlan().toString()
+    kept = plan(got)
+    assert kept.count("Exchange hashpartitioning(doc_id") <= 12 and tree.count("Window") == 1
